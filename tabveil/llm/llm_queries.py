@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 
-from tabveil.llm import bpe
+from pyspark.sql import functions as F
+
+from tabveil.llm import bpe, knn
 from tabveil.llm.registry import query
 
 
@@ -14,3 +16,19 @@ def read(spark, sf_dir, name):
 @query("op6_bpe")
 def op6(spark, sf_dir):
     return bpe.encode_decode(read(spark, sf_dir, "documents"), digests=True)
+
+
+@query(
+    "op1_voronoi_knn",
+    """WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+        CAST(list_sum(list_transform(list_zip(q.vec, d.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+    ), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def op1(spark, sf_dir):
+    return knn.top_k(knn.integer_vectors(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
