@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, knn
+from tabveil.llm import bpe, knn, quality
 from tabveil.llm.registry import query
 
 
@@ -32,3 +32,8 @@ def op6(spark, sf_dir):
 )
 def op1(spark, sf_dir):
     return knn.top_k(knn.integer_vectors(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op7_quality")
+def op7(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
