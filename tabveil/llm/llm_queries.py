@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, knn, quality
+from tabveil.llm import bpe, knn, linededup, quality
 from tabveil.llm.registry import query
 
 
@@ -37,3 +37,25 @@ def op1(spark, sf_dir):
 @query("op7_quality")
 def op7(spark, sf_dir):
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(
+    "op10_line_dedup",
+    """WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, pos, x[pos + 1] AS line, length(x[pos + 1]) AS chars FROM (SELECT doc_id, x, unnest(range(len(x))) AS pos FROM d)),
+    c AS (SELECT *, sum(chars) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l),
+    m AS (SELECT doc_id, line, chars, upto, pos FROM c),
+    f AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto >= a.upto - a.chars + 150 GROUP BY 1, 2),
+    b AS (SELECT a.doc_id, max(b.pos) AS s, a.pos AS e FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.pos <= a.pos AND b.upto - b.chars <= a.upto - 150 GROUP BY a.doc_id, a.pos),
+    w AS (SELECT * FROM f UNION SELECT * FROM b),
+    r AS (SELECT w.doc_id, w.s, w.e, string_agg(m.line, chr(10) ORDER BY m.pos) AS run FROM w JOIN m ON w.doc_id = m.doc_id AND m.pos BETWEEN w.s AND w.e GROUP BY 1, 2, 3),
+    n AS (SELECT *, row_number() OVER (PARTITION BY run, e - s ORDER BY doc_id, s) AS nth FROM r),
+    g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM n WHERE nth > 1),
+    k AS (SELECT m.doc_id, string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_removed
+      FROM m LEFT JOIN g ON m.doc_id = g.doc_id AND m.pos = g.pos GROUP BY 1)
+    SELECT documents.doc_id, CASE WHEN documents.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+    FROM documents LEFT JOIN k USING (doc_id)""",
+)
+def op10(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_repeated_lines(docs, report=True)
