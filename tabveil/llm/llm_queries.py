@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, knn, linededup, quality
+from tabveil.llm import bpe, decontam, knn, linededup, pii, quality
 from tabveil.llm.registry import query
 
 
@@ -59,3 +59,13 @@ def op7(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_repeated_lines(docs, report=True)
+
+
+@query("op8_pii")
+def op8(spark, sf_dir):
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_decontaminate")
+def op9(spark, sf_dir):
+    return decontam.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
