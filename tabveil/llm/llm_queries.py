@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, decontam, knn, linededup, pii, quality
+from tabveil.llm import bpe, decontam, jaccard, knn, linededup, pii, quality
 from tabveil.llm.registry import query
 
 
@@ -69,3 +69,21 @@ def op8(spark, sf_dir):
 @query("op9_decontaminate")
 def op9(spark, sf_dir):
     return decontam.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op3_jaccard",
+    r"""WITH RECURSIVE w AS (
+      SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS x FROM documents
+    ), s AS (
+      SELECT doc_id, CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 5 THEN [array_to_string(x, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' '))) END AS sh FROM w
+    ), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
+    l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (n + m - c)),
+    u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id AND r.root < u.b)
+    SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.root) AS component_id FROM s JOIN r USING (doc_id) GROUP BY 1, 2""",
+)
+def op3(spark, sf_dir):
+    return jaccard.similar_documents(read(spark, sf_dir, "documents"))
