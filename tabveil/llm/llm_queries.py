@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, decontam, jaccard, knn, linededup, pii, quality
+from tabveil.llm import bpe, decontam, jaccard, knn, linededup, pii, quality, substrings
 from tabveil.llm.registry import query
 
 
@@ -87,3 +87,21 @@ def op9(spark, sf_dir):
 )
 def op3(spark, sf_dir):
     return jaccard.similar_documents(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_suffix_dedup",
+    """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(greatest(length(x) // 2 - 99, 0))) AS i FROM h)),
+    f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+    g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k
+      FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM f)),
+    r AS (SELECT doc_id, k, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY 1, 2),
+    p AS (SELECT r.doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r.doc_id ORDER BY lo), 0) AS at FROM r),
+    c AS (SELECT p.doc_id, string_agg(substr(x, 2 * at + 1, 2 * (lo - at)), '' ORDER BY lo) AS head, max(hi) AS last, sum(hi - lo) AS gone, count(*) AS n FROM p JOIN h USING (doc_id) GROUP BY 1)
+    SELECT h.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+      sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM h LEFT JOIN c USING (doc_id)""",
+)
+def op2(spark, sf_dir):
+    return substrings.remove_repeated(read(spark, sf_dir, "documents"), digests=True)
