@@ -97,8 +97,8 @@ def op3(spark, sf_dir):
     g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k
       FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM f)),
     r AS (SELECT doc_id, k, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY 1, 2),
-    p AS (SELECT r.doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r.doc_id ORDER BY lo), 0) AS at FROM r),
-    c AS (SELECT p.doc_id, string_agg(substr(x, 2 * at + 1, 2 * (lo - at)), '' ORDER BY lo) AS head, max(hi) AS last, sum(hi - lo) AS gone, count(*) AS n FROM p JOIN h USING (doc_id) GROUP BY 1)
+    p AS (SELECT r.doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r.doc_id ORDER BY lo), 0) AS prev FROM r),
+    c AS (SELECT p.doc_id, string_agg(substr(x, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) AS head, max(hi) AS last, sum(hi - lo) AS gone, count(*) AS n FROM p JOIN h USING (doc_id) GROUP BY 1)
     SELECT h.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
     FROM h LEFT JOIN c USING (doc_id)""",
