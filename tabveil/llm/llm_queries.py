@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, decontam, jaccard, knn, linededup, pii, quality, substrings
+from tabveil.llm import bpe, decontam, jaccard, knn, linededup, mixing, pii, quality, substrings
 from tabveil.llm.registry import query
 
 
@@ -105,3 +105,8 @@ def op3(spark, sf_dir):
 )
 def op2(spark, sf_dir):
     return substrings.remove_repeated(read(spark, sf_dir, "documents"), digests=True)
+
+
+@query("op4_mixing_score")
+def op4(spark, sf_dir):
+    return mixing.score_texts(read(spark, sf_dir, "documents"))
