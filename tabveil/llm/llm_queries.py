@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, decontam, jaccard, knn, linededup, mixing, pii, quality, substrings
+from tabveil.llm import bpe, decontam, jaccard, knn, linededup, mixing, pii, quality, substrings, tokencounts
 from tabveil.llm.registry import query
 
 
@@ -110,3 +110,8 @@ def op2(spark, sf_dir):
 @query("op4_mixing_score")
 def op4(spark, sf_dir):
     return mixing.score_texts(read(spark, sf_dir, "documents"))
+
+
+@query("op5_token_counts")
+def op5(spark, sf_dir):
+    return tokencounts.count_tokens(read(spark, sf_dir, "documents"))
