@@ -5,8 +5,8 @@ and its prefix is long enough that two similar sets share one of its shingles. E
 with equal prefix and size are one group, and only groups meet on shingles. A pair of groups must share so many prefix
 shingles that its similarity is still possible; it is then expanded to variants, which are verified on their whole sets.
 
-A group of near copies never meets in all its pairs: first each meets the smallest group on its shingles, and only
-what these links have not yet put in one component meets in pairs.
+A group of near copies never meets in all its pairs: first each meets a few centres of its shingles, and only what these
+links have not yet put in one component meets in pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from tabveil.session import materialise, ship
 WORDS = 5
 SLOT_BITS, PARTS = 22, 64
 WANTED_BITS = 24
+#: Groups on one shingle that all others on it meet first.
+CENTRES = 4
+ROUNDS = 4
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +134,8 @@ def possible(shared: Column, n: Column, m: Column) -> Column:
     return 9 * (shared + F.greatest(n - p(n), m - p(m))) >= 4 * (n + m)
 
 
-def verified(docs: DataFrame, text_column: str, pairs: DataFrame, variants: DataFrame) -> DataFrame:
-    """Those of pairs (a, b: vids) whose sets reach 0.8. Only sets that a bitmap of fixed size lets through are moved."""
+def wanted_sets(docs: DataFrame, text_column: str, pairs: DataFrame, variants: DataFrame) -> DataFrame:
+    """vid, shingles of the variants in pairs (a, b). Only sets that a bitmap of fixed size lets through are moved."""
     spark = docs.sparkSession
     names = variants.select("vid", "s1", "s2")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(names, "vid")
@@ -156,7 +159,11 @@ def verified(docs: DataFrame, text_column: str, pairs: DataFrame, variants: Data
                     yield pa.RecordBatch.from_arrays([pa.array(s1[rows].view(np.int64)), pa.array(s2[rows].view(np.int64)), lists], ["s1", "s2", "shingles"])
 
     sets = docs.select(text_column).mapInArrow(some, "s1 long, s2 long, shingles array<long>")
-    sets = materialise(sets.join(wanted, ["s1", "s2"]).groupBy("vid").agg(F.first("shingles").alias("shingles")), "wanted-sets")
+    return materialise(sets.join(wanted, ["s1", "s2"]).groupBy("vid").agg(F.first("shingles").alias("shingles")), "wanted-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets reach 0.8."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,6 +179,21 @@ def verified(docs: DataFrame, text_column: str, pairs: DataFrame, variants: Data
     return materialise(x.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
+def star_pairs(tokens: DataFrame, number: int) -> DataFrame:
+    """a, b (gids): each group with the centres of its shingles, where these may be similar and aren't in one component (c) yet.
+
+    The centres of a shingle are those of the smallest hashes, others in each round.
+    """
+    by_hash = [F.xxhash64("gid", F.lit(number * CENTRES + i)) for i in range(CENTRES)]
+    centres = tokens.groupBy("token").agg(*[F.min_by(x, h).alias(f"{x}{i}") for i, h in enumerate(by_hash) for x in ("gid", "n", "c")])
+    centres = centres.select("token", F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}{i}").alias(x) for x in ("gid", "n", "c")]) for i in range(CENTRES)])).alias("centre"))
+    met = tokens.join(centres, "token").select("gid", "n", "c", F.explode("centre").alias("o")).where("c != o.c").where(sizes_fit(F.col("n"), F.col("o.n")))
+    x, y = F.struct("gid", "n"), F.struct("o.gid", "o.n")
+    met = met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).groupBy(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n_y")).agg(F.count("*").alias("shared"))
+    # a shingle counts here only if one of the two is its centre, so a third of those that a pair needs are asked for
+    return met.where(possible(3 * F.col("shared"), F.col("n_x"), F.col("n_y"))).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id_column, n_shingles, component_id: the smallest id reachable over links of similarity 0.8, one row for each row of docs.
 
@@ -190,14 +212,26 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     member = materialise(variants.join(groups, ["n", "p1", "p2"]).select("vid", "gid", "n", "s1", "s2", "k"), "members")
 
     tokens = full.select(F.col("rid").alias("gid"), "n", "prefix").join(groups.select("gid"), "gid").select("gid", "n", F.explode("prefix").alias("token"))
-    met = tokens.groupBy("token").agg(F.min(F.struct("gid", "n")).alias("lo"), F.max("gid").alias("hi")).where("lo.gid < hi").select("token", "lo")
-    tokens = materialise(tokens.join(met, "token").select("token", "gid", "n", "lo"), "met-tokens")
-    stars = tokens.where("gid != lo.gid").where(sizes_fit(F.col("n"), F.col("lo.n"))).groupBy(F.col("lo.gid").alias("a"), "gid", F.col("lo.n").alias("m"), "n").agg(F.count("*").alias("shared"))
-    stars = stars.where(possible(F.col("shared"), F.col("n"), F.col("m"))).select("a", "gid")
+    met = tokens.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
+    tokens = materialise(tokens.join(met, "token"), "met-tokens")
+    stars = star_pairs(tokens.withColumn("c", F.col("gid")), 0)
     within = member.where("k > 1 AND vid != gid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
-    pairs = materialise(stars.join(member.select("gid", F.col("vid").alias("b")), "gid").select("a", "b").unionByName(within), "star-pairs")
-    links = verified(docs, text_column, pairs, member)
-    component = materialise(connected_components(links), "components-1")
+    stars = stars.join(member.select(F.col("gid").alias("b"), "vid"), "b").select("a", F.col("vid").alias("b"))
+    pairs = materialise(stars.unionByName(within), "star-pairs")
+    known = wanted_sets(docs, text_column, pairs, member)
+    links = verified(pairs, known)
+    component = materialise(connected_components(links), "components")
+    near = materialise(tokens.join(known.select(F.col("vid").alias("gid")), "gid", "left_semi"), "near-tokens")
+    for number in range(1, ROUNDS):
+        now = near.join(component.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid")).drop("component")
+        more = materialise(star_pairs(now, number), "star-pairs")
+        if more.isEmpty():
+            break
+        pairs, new = pairs.unionByName(more), verified(more, known)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        component = materialise(connected_components(links), "components")
 
     at = member.join(component.withColumnRenamed("node", "vid"), "vid", "left").select("vid", "gid", "n", "k", F.coalesce("component", "vid").alias("c"))
     at = materialise(at, "members-at")
@@ -213,7 +247,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     left = meet.unionByName(inner).join(a, "gid_x").join(b, "gid_y").where("c_x != c_y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = materialise(left.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs")
     if not left.isEmpty():
-        more = verified(docs, text_column, left, member)
+        more = verified(left, wanted_sets(docs, text_column, left, member))
         if not more.isEmpty():
             component = materialise(connected_components(links.unionByName(more)), "components-2")
 
