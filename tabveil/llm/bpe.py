@@ -239,23 +239,25 @@ def text_groups(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Ite
         lo = hi
 
 
-def encode_decode(docs: DataFrame, path: str = TOKENIZER, id_column: str = "doc_id", text_column: str = "text", digests: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str = TOKENIZER, id_column: str = "doc_id", text_column: str = "text", digests: bool = False, check: bool = False) -> DataFrame:
     """Encode each text, then decode its ids: id_column, ids array<int>, decoded; with digests n_tokens and SHA-256 instead.
 
+    With check, same says whether the decoded text is the text, and takes its place.
+
     Null and empty texts have no ids and decode to the empty text. Rows with equal ids or texts stay rows of their own;
     other columns are not read. A map over partitions: no shuffle, and the cache of pieces is bounded.
     """
     ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(docs, path))
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"`{id_column}` {kind}, ids array<int>, decoded string"
+    schema = f"`{id_column}` {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, same boolean" if check else "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(spec.value)
         for batch in batches:
             for lo, hi, texts in text_groups(batch, text_column):
                 a, b, c = [], [], []
-                for ids in bpe.encode_batch(texts):
+                for text, ids in zip(texts, bpe.encode_batch(texts), strict=True):
                     decoded = bpe.decode(ids)
                     if digests:
                         a.append(len(ids))
@@ -263,11 +265,11 @@ def encode_decode(docs: DataFrame, path: str = TOKENIZER, id_column: str = "doc_
                         c.append(hashlib.sha256(decoded).hexdigest())
                     else:
                         a.append(ids)
-                        b.append(decoded.decode())
+                        b.append(decoded == text.encode() if check else decoded.decode())
                 key = batch.column(batch.schema.get_field_index(id_column)).slice(lo, hi - lo)
                 if digests:
                     yield pa.RecordBatch.from_arrays([key, pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.string())], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    yield pa.RecordBatch.from_arrays([key, pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.string())], [id_column, "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([key, pa.array(a, pa.list_(pa.int32())), pa.array(b)], [id_column, "ids", "same" if check else "decoded"])
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
