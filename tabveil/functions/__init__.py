@@ -1 +1,103 @@
-"""tabveil.functions"""
+"""Column functions: cleaning, dates, bins, keyed hashes. All stay in the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Spellings of "missing" that tables use; compared after trimming, in any case.
+SENTINELS = ("tag", "?", "-1", "-1.0", "-9999999", "empty")
+REFERENCE_DAY = "1800-01-01"
+
+
+def is_sentinel(c: Column, sentinels: tuple[str, ...] = SENTINELS) -> Column:
+    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(*sentinels), F.lit(False))
+
+
+def clean_sentinels(c: Column, sentinels: tuple[str, ...] = SENTINELS) -> Column:
+    """NULL for a spelling of missing, else the value."""
+    return F.when(~is_sentinel(c, sentinels), c)
+
+
+def normalise_text(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+def by_substring(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """The label of the first rule whose substring occurs; the value itself if none does."""
+    out = None
+    for part, label in rules:
+        out = F.when(c.contains(part), label) if out is None else out.when(c.contains(part), label)
+    return c if out is None else out.otherwise(c)
+
+
+def year_difference(later: Column, earlier: Column) -> Column:
+    """Difference of calendar years, not elapsed time."""
+    return F.year(later) - F.year(earlier)
+
+
+def year_bin(date: Column, width: int = 5, last: int = 4995) -> Column:
+    """Left edge of the right-closed bin (a, a + width] that holds the year; NULL outside (0, last]."""
+    y = F.year(date)
+    return F.when((y > 0) & (y <= last), (F.floor((y - 1) / width) * width).cast("int"))
+
+
+def span_bin(years: Column, width: int = 5, last: int = 195) -> Column:
+    """Left edge of the right-closed bin (a, a + width]; NULL for 0, negatives and what is above last."""
+    return F.when((years > 0) & (years <= last), (F.ceil(years / width) * width - width).cast("int"))
+
+
+def bin_left_edge(label: Column) -> Column:
+    """The number at the left of a label such as `(5, 10]`."""
+    return F.regexp_extract(label, r"[(\[]([^,]+)", 1).try_cast("double")
+
+
+def presence(c: Column) -> Column:
+    return c.isNotNull().cast("int")
+
+
+def date_to_days(c: Column, origin: str = REFERENCE_DAY) -> Column:
+    """Days since the origin; NULL if it isn't a date."""
+    return F.datediff(c.try_cast("date"), F.lit(origin).cast("date")).cast("double")
+
+
+def days_to_date(c: Column, origin: str = REFERENCE_DAY) -> Column:
+    """The date so many days after the origin, rounded; NULL for NULL."""
+    return F.date_add(F.lit(origin).cast("date"), F.round(c).cast("int"))
+
+
+def bmi(weight: Column, height_cm: Column) -> Column:
+    """Weight over squared height in metres; NULL for a height of 0."""
+    return F.try_divide(weight, (height_cm / 100) * (height_cm / 100))
+
+
+def clip(c: Column, low: Column, high: Column) -> Column:
+    return F.when(c.isNotNull(), F.greatest(F.least(c, high), low))
+
+
+def shifted_log(c: Column, low: Column) -> Column:
+    """log x if the column's least value is above 0, log(x + 1) if it is 0, else log(x - least + 1)."""
+    return F.when(low > 0, F.ln(c)).when(low == 0, F.ln(c + 1)).otherwise(F.ln(c - low + 1))
+
+
+def shifted_exp(c: Column, low: Column) -> Column:
+    """The inverse of shifted_log."""
+    return F.when(low > 0, F.exp(c)).when(low == 0, F.exp(c) - 1).otherwise(F.exp(c) - 1 + low)
+
+
+def first_maximum(*indicators: Column) -> Column:
+    """The number, from 0, of the first of the largest indicators."""
+    x = F.array(*indicators)
+    return F.array_position(x, F.array_max(x)) - 1
+
+
+def parse_pairs(text: Column, names: list[str], between: str = ", ", equals: str = " is ") -> Column:
+    """A struct of the named values in text such as `age is 3, sex is F`; of repeated names the first counts."""
+    parts = F.transform(F.split(text, between), lambda p: F.struct(F.trim(F.substring_index(p, equals, 1)).alias("k"), F.substring(p, F.length(F.substring_index(p, equals, 1)) + len(equals) + 1, F.lit(1 << 30)).alias("v")))
+    get = lambda name: F.get(F.filter(parts, lambda x: (x["k"] == name)), F.lit(0))["v"]
+    return F.struct(*[get(n).alias(n) for n in names])
+
+
+def unit_hash(seed: int, *key: Column) -> Column:
+    """A number in [0, 1) that only the seed and the key decide."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
