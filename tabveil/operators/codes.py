@@ -17,8 +17,8 @@ def numbered(df: DataFrame, order: list, name: str, buckets: int = 256) -> DataF
     sizes = x.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
     shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    x = x.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return x.join(F.broadcast(shift), "_part").withColumn(name, (F.col("_nth") - 1 + F.col("_shift")).cast("long")).drop("_part", "_nth", "_shift")
+    x = x.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return x.join(F.broadcast(shift), "_part").withColumn(name, (F.col("_row") - 1 + F.col("_shift")).cast("long")).drop("_part", "_row", "_shift")
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
