@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tabveil.llm.bytesarrays import B, B_INV, BYTE, M1, M2, chunks, gram_hashes, mix, powers
 from tabveil.llm.suffixarray import permuted_prefixes, suffix_array
-from tabveil.session import materialise, ship
+from tabveil.session import discard, materialise, ship
 
 WIDTH, GRAM = 100, 24
 BITMAP_BITS = 27
@@ -114,7 +114,7 @@ def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """doc (a struct of the id and a hash of the text), start, n: runs of n windows that also start earlier."""
+    """doc (a struct of the id and a hash of the text), runs (start, n): its runs of n windows that also start earlier."""
     spark = docs.sparkSession
     texts = docs.select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h")).alias("doc"), F.col(text_column).alias("text"))
     doc_type = texts.schema["doc"].dataType.simpleString()
@@ -167,8 +167,8 @@ def repeated_windows(docs: DataFrame, id_column: str, text_column: str, width: i
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), pa.array(c1[keep]), pa.array(c2[keep]), body], [*content, "body"])
 
     bodies = texts.select("text").mapInArrow(contents, "anchor long, c1 long, c2 long, body binary")
-    inner = bodies.join(inner, content).groupBy(*content).agg(F.first("body").alias("body"), F.first("first").alias("first"), F.first("n").alias("n"), F.first("different").alias("different"))
-    inner = materialise(inner.select("anchor", "body", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n", "different"), "bodies")
+    bodies = bodies.join(inner, content).groupBy(*content).agg(F.first("body").alias("body"), F.first("first").alias("first"), F.first("n").alias("n"), F.first("different").alias("different"))
+    bodies = materialise(bodies.select("anchor", "body", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n", "different"), "bodies")
 
     def shard(t: pa.Table) -> pa.Table:
         body, start = t.column("body").to_pylist(), t.column("start").to_numpy()
@@ -197,7 +197,7 @@ def repeated_windows(docs: DataFrame, id_column: str, text_column: str, width: i
         n = np.diff(np.append(begin, len(got)))
         return pa.table([t.column("doc").take(pa.array(owner[got[begin]], pa.int64())), pa.array(place[got[begin]], pa.int64()), pa.array(n.astype(np.int32))], names=["doc", "start", "n"])
 
-    cut = inner.where(F.col("different") <= MANY_SPANS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    cut = bodies.where(F.col("different") <= MANY_SPANS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     sorted_out = cut.groupBy("shard").applyInArrow(shard, f"doc {doc_type}, start long, n int")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +216,14 @@ def repeated_windows(docs: DataFrame, id_column: str, text_column: str, width: i
                 rows = pa.array(lo + owner)
                 yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b.column(b.schema.get_field_index("doc")).take(rows), pa.array(b.column(b.schema.get_field_index("start")).to_numpy()[lo + owner] + offset)], ["w1", "w2", "doc", "start"])
 
-    windows = inner.where(F.col("different") > MANY_SPANS).select("body", "doc", "start").mapInArrow(single, f"w1 long, w2 long, doc {doc_type}, start long")
+    windows = bodies.where(F.col("different") > MANY_SPANS).select("body", "doc", "start").mapInArrow(single, f"w1 long, w2 long, doc {doc_type}, start long")
     windows = materialise(windows, "windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     compared = windows.join(earliest, ["w1", "w2"]).where(F.struct("doc", "start") > F.col("first")).select("doc", "start", F.lit(1).alias("n"))
-    return copies.unionByName(sorted_out).unionByName(compared)
+    runs = copies.unionByName(sorted_out).unionByName(compared).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = materialise(runs, "runs")
+    discard(again, found, first, inner, bodies, windows)
+    return runs
 
 
 def covered(size: int, start: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +249,6 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ship(docs.sparkSession)
     docs = docs.select(id_column, text_column)
     runs = repeated_windows(docs.where(F.length(text_column) > 0), id_column, text_column, width)
-    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     x = docs.withColumn("doc", F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h"))).join(runs, "doc", "left").select(id_column, text_column, "runs")
     kind = docs.schema[id_column].dataType.simpleString()
     last = "kept_sha256 string" if digests else "kept binary"
