@@ -68,8 +68,8 @@ def running(df: DataFrame, group: str, order: str, sums: list[str], buckets: int
     x = df.repartitionByRange(buckets, group, order).withColumn("_part", F.spark_partition_id())
     parts = x.groupBy("_part", group).agg(*[F.sum(s).alias(f"_{s}") for s in sums], F.max(order).alias("_last"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows a group
-    shift = parts.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}") for s in sums], F.max("_last").over(before).alias("_last"))
+    shift = parts.select(F.col("_part").alias("_run_part"), F.col(group).alias("_run_group"), *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}") for s in sums], F.max("_last").over(before).alias("_last"))
     here = Window.partitionBy("_part", group).orderBy(order)
     x = x.withColumns({**{f"{s}_upto": F.sum(s).over(here) for s in sums}, "previous": F.lag(order).over(here)})
-    x = x.join(shift, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    x = x.join(shift, (F.col("_part") == F.col("_run_part")) & F.col(group).eqNullSafe(F.col("_run_group")))
     return x.withColumns({**{f"{s}_upto": F.col(f"{s}_upto") + F.col(f"_{s}") for s in sums}, "previous": F.coalesce("previous", "_last")}).select(*df.columns, *[f"{s}_upto" for s in sums], "previous")

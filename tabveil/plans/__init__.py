@@ -5,4 +5,4 @@ from __future__ import annotations
 
 def load() -> None:
     """Import the modules, which register their queries."""
-    from tabveil.plans import aggregates, distances, prepare, ranking  # noqa: F401
+    from tabveil.plans import aggregates, distances, prepare, privacy, ranking  # noqa: F401
