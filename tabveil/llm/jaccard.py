@@ -28,7 +28,6 @@ SLOT_BITS, PARTS = 22, 64
 WANTED_BITS = 24
 #: Groups on one shingle that all others on it meet first.
 CENTRES = 4
-ROUNDS = 4
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -179,19 +178,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(x.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
-def star_pairs(tokens: DataFrame, number: int) -> DataFrame:
-    """a, b (gids): each group with the centres of its shingles, where these may be similar and aren't in one component (c) yet.
-
-    The centres of a shingle are those of the smallest hashes, others in each round.
-    """
-    by_hash = [F.xxhash64("gid", F.lit(number * CENTRES + i)) for i in range(CENTRES)]
-    centres = tokens.groupBy("token").agg(*[F.min_by(x, h).alias(f"{x}{i}") for i, h in enumerate(by_hash) for x in ("gid", "n", "c")])
-    centres = centres.select("token", F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}{i}").alias(x) for x in ("gid", "n", "c")]) for i in range(CENTRES)])).alias("centre"))
-    met = tokens.join(centres, "token").select("gid", "n", "c", F.explode("centre").alias("o")).where("c != o.c").where(sizes_fit(F.col("n"), F.col("o.n")))
-    x, y = F.struct("gid", "n"), F.struct("o.gid", "o.n")
-    met = met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).groupBy(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n_y")).agg(F.count("*").alias("shared"))
+def star_pairs(tokens: DataFrame) -> DataFrame:
+    """a, b (gids): each group with the centres of its shingles, those of the smallest hashes, where the two may be similar."""
+    by_hash = [F.xxhash64("gid", F.lit(i)) for i in range(CENTRES)]
+    centres = tokens.groupBy("token").agg(*[F.min_by(x, h).alias(f"{x}{i}") for i, h in enumerate(by_hash) for x in ("gid", "n")])
+    centres = centres.select("token", F.array_distinct(F.array(*[F.struct(F.col(f"gid{i}").alias("gid"), F.col(f"n{i}").alias("n")) for i in range(CENTRES)])).alias("centre"))
+    met = tokens.join(centres, "token").select("gid", "n", F.explode("centre").alias("o")).where("gid != o.gid").where(sizes_fit(F.col("n"), F.col("o.n")))
+    first = F.col("gid") < F.col("o.gid")
+    pick = lambda x, y: F.when(first, x).otherwise(y)
+    met = met.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b"), pick(F.col("n"), F.col("o.n")).alias("n_x"), pick(F.col("o.n"), F.col("n")).alias("n_y"))
     # a shingle counts here only if one of the two is its centre, so a third of those that a pair needs are asked for
-    return met.where(possible(3 * F.col("shared"), F.col("n_x"), F.col("n_y"))).select("a", "b")
+    shared = met.groupBy("a", "b", "n_x", "n_y").agg(F.count("*").alias("shared"))
+    return shared.where(possible(3 * F.col("shared"), F.col("n_x"), F.col("n_y"))).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -214,25 +212,12 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     tokens = full.select(F.col("rid").alias("gid"), "n", "prefix").join(groups.select("gid"), "gid").select("gid", "n", F.explode("prefix").alias("token"))
     met = tokens.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
     tokens = materialise(tokens.join(met, "token"), "met-tokens")
-    stars = star_pairs(tokens.withColumn("c", F.col("gid")), 0)
+    stars = star_pairs(tokens)
     within = member.where("k > 1 AND vid != gid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
     stars = stars.join(member.select(F.col("gid").alias("b"), "vid"), "b").select("a", F.col("vid").alias("b"))
     pairs = materialise(stars.unionByName(within), "star-pairs")
-    known = wanted_sets(docs, text_column, pairs, member)
-    links = verified(pairs, known)
+    links = verified(pairs, wanted_sets(docs, text_column, pairs, member))
     component = materialise(connected_components(links), "components")
-    near = materialise(tokens.join(known.select(F.col("vid").alias("gid")), "gid", "left_semi"), "near-tokens")
-    for number in range(1, ROUNDS):
-        now = near.join(component.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid")).drop("component")
-        more = materialise(star_pairs(now, number), "star-pairs")
-        if more.isEmpty():
-            break
-        pairs, new = pairs.unionByName(more), verified(more, known)
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        component = materialise(connected_components(links), "components")
-
     at = member.join(component.withColumnRenamed("node", "vid"), "vid", "left").select("vid", "gid", "n", "k", F.coalesce("component", "vid").alias("c"))
     at = materialise(at, "members-at")
     spread = at.groupBy("gid").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
