@@ -5,4 +5,4 @@ from __future__ import annotations
 
 def load() -> None:
     """Import the modules, which register their queries."""
-    from tabveil.plans import aggregates, distances, encoders, prepare, privacy, ranking, sources, utility  # noqa: F401
+    from tabveil.plans import aggregates, distances, encoders, prepare, privacy, ranking, sources, streams, utility  # noqa: F401
