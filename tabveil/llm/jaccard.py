@@ -27,7 +27,7 @@ WORDS = 5
 SLOT_BITS, PARTS = 22, 64
 WANTED_BITS = 24
 #: Groups on one shingle that all others on it meet first.
-CENTRES = 4
+CENTRES = 32
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
