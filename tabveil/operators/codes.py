@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.functions import unit_hash
+from tabveil.session import materialise
 
 
-def numbered(df: DataFrame, order: list, name: str, buckets: int = 256) -> DataFrame:
+def ranged(df: DataFrame, order: list, buckets: int | None = None) -> DataFrame:
+    """df dealt into ranges of the order, their numbers as _part; written down, so that all who read it see the same ranges."""
+    x = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    return materialise(x.withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def numbered(df: DataFrame, order: list, name: str, buckets: int | None = None) -> DataFrame:
     """df with a column that numbers its rows from 0 in that order, without a sort of all rows in one task.
 
     Rows are range-partitioned by the order, numbered within partitions, and shifted by the sizes of those before.
     """
-    x = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
+    x = ranged(df, order, buckets)
     sizes = x.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     x = x.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     return x.join(F.broadcast(shift), "_part").withColumn(name, (F.col("_row") - 1 + F.col("_shift")).cast("long")).drop("_part", "_row", "_shift")
@@ -59,15 +66,15 @@ def snap_to_seen(df: DataFrame, real: DataFrame, column: str, most: int = 32) ->
     return df.withColumn(column, F.when(F.col(column).isNotNull(), F.array_min(options)["v"]))
 
 
-def running(df: DataFrame, group: str, order: str, sums: list[str], buckets: int = 256) -> DataFrame:
+def running(df: DataFrame, group: str, order: str, sums: list[str], buckets: int | None = None) -> DataFrame:
     """df, whose rows differ in (group, order), with <s>_upto, the sums up to each row within its group, and previous, the order value before it.
 
     Rows are range-partitioned, summed within partitions, and shifted by the partitions before, so no task holds a
     whole group.
     """
-    x = df.repartitionByRange(buckets, group, order).withColumn("_part", F.spark_partition_id())
+    x = ranged(df, [F.col(group), F.col(order)], buckets)
     parts = x.groupBy("_part", group).agg(*[F.sum(s).alias(f"_{s}") for s in sums], F.max(order).alias("_last"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows a group
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
     shift = parts.select(F.col("_part").alias("_run_part"), F.col(group).alias("_run_group"), *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}") for s in sums], F.max("_last").over(before).alias("_last"))
     here = Window.partitionBy("_part", group).orderBy(order)
     x = x.withColumns({**{f"{s}_upto": F.sum(s).over(here) for s in sums}, "previous": F.lag(order).over(here)})
