@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from tabveil.llm.bytesarrays import chunks, mix, word_hashes, words
 from tabveil.session import materialise, ship
 
-#: Fixed masks: 1 keeps a token, 0 ignores it.
-MASKS = ("1110110111", "11011001000111", "110100100101010011")
+#: Fixed masks: 1 keeps a token, 0 ignores it. Whichever fifth of 13 tokens or more differs (or of a whole item of
+#: SHORTEST or more), one of them fits; a stretch of 26 or more has a part of 13 to 25 with no larger share of differences.
+MASKS = ("11111", "111011", "11001011")
 MIN_TOKENS, MIN_SHARE = 13, 0.8
+SHORTEST = 10
 REACH = 64
 BITS = 24
 TOKEN_BREAK = np.ones(256, dtype=bool)
@@ -75,15 +77,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
     """id_column, item_id, n_tokens, n_equal: for each document and benchmark item that overlap, the longest overlap.
 
     An overlap is an alignment of the two texts in which a stretch of at least min_tokens tokens (or the whole item, if
-    that is shorter, but at least the shortest mask), of which at least min_share are equal, holds a seed that both
-    share; a stretch is looked for up to REACH tokens to each side of the seed. Tokens are runs of letters and digits,
+    that is shorter, but at least SHORTEST), of which at least min_share are equal, is found; with the default numbers
+    every such stretch holds a seed that both share, with lower ones only those that do are found. A stretch is looked
+    for up to REACH tokens to each side of its seeds, so of a longer one a part may be reported. Tokens are runs of letters and digits,
     so punctuation and case of A-Z don't count. Items of equal tokens count once, under the smallest id. Rows that
     repeat a document's id are taken together. Null and empty texts overlap with nothing; empty tables give no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     items = materialise(benchmark_items(benchmark, item_column, item_text), "benchmark-items")
-    least = min(map(len, MASKS))
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +146,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
             for n, (x, y, shift, low, high) in enumerate(zip(b.column(1), b.column(2), *(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)):
                 text, item = x.values.to_numpy(), y.values.to_numpy()
                 size, equal = longest(text, item, shift, low, high, min_share)
-                if size >= max(least, min(min_tokens, len(item))):
+                if size >= max(SHORTEST, min(min_tokens, len(item))):
                     keep.append(n)
                     sizes.append(size)
                     equals.append(equal)

@@ -1,7 +1,8 @@
 import random
 import re
+from itertools import accumulate, combinations
 
-from tabveil.llm.decontam import MASKS, drop_contaminated, overlaps
+from tabveil.llm.decontam import MASKS, REACH, drop_contaminated, overlaps
 
 
 def brute(docs, items):
@@ -48,3 +49,44 @@ def test_against_brute_force(spark):
     kept = {x.doc_id for x in drop_contaminated(df, bench).collect()}
     assert kept == {d for d, _ in docs} - {x[0] for x in got}
     assert overlaps(df, bench.limit(0)).collect() == [] and overlaps(df.limit(0), bench).collect() == []
+
+
+def test_every_pattern_of_substitutions_leaves_a_seed():
+    for n in range(10, 26):
+        ends = n < 13  # a whole item begins and ends with equal tokens
+        for changed in combinations(range(1, n - 1) if ends else range(n), n // 5):
+            bits = sum(1 << i for i in changed)
+            assert any(not bits & (int(m[::-1], 2) << k) for m in MASKS for k in range(n - len(m) + 1)), (n, changed)
+
+
+def test_against_brute_force_without_masks(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((10, 11, 12, 13, 15, 20, 25, 40, 60, 200))]
+    docs = []
+    for _, u in items:
+        for phase in range(5):  # every fifth token, and as many at random
+            y = u.split()
+            docs.append([word() if k % 5 == phase else w for k, w in enumerate(y)])
+            for _ in range(2):
+                at = set(r.sample(range(len(y)), len(y) // 5))
+                docs.append([word() if k in at else w for k, w in enumerate(y)])
+    docs = [(d, " ".join([word(), word(), *x, word()])) for d, x in enumerate(docs)]
+    want = {}
+    for d, t in docs:
+        x = t.split()
+        for i, u in items:
+            y = u.split()
+            for shift in range(-len(y), len(x)):
+                eq = [0 <= k + shift < len(x) and x[k + shift] == y[k] for k in range(len(y))]
+                sums = [0, *accumulate(eq)]
+                for a in [k for k, e in enumerate(eq) if e]:
+                    for b in [k + 1 for k, e in enumerate(eq) if e and k >= a]:
+                        n, e = b - a, sums[b] - sums[a]
+                        if n >= min(13, len(y)) and e >= 0.8 * n - 1e-9:
+                            want[d, i] = max(want.get((d, i), (0, 0)), (n, e))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.n_tokens, x.n_equal) for x in overlaps(df, bench).collect()}
+    assert set(got) == set(want) and len(want) > 100
+    assert all(got[k] == v for k, v in want.items() if v[0] <= REACH)  # of longer ones a part may be reported
