@@ -2,8 +2,8 @@
 
 A document's set is put in one order for all documents, rare shingles first (by a sketch of fixed size, ties by hash),
 and its prefix is long enough that two similar sets share one of its shingles. Equal sets are one variant, variants
-with equal prefix and size are one group, and only groups meet on shingles. A pair of groups must share so many prefix
-shingles that its similarity is still possible; it is then expanded to variants, which are verified on their whole sets.
+with equal prefix and size are one group, and only groups meet on shingles. A pair meets only where the shingle comes so
+early in both sets that it can be the first they share; it is then expanded to variants, verified on their whole sets.
 
 A group of near copies never meets in all its pairs: first each meets a few centres of its shingles, and only what these
 links have not yet put in one component meets in pairs.
@@ -133,6 +133,11 @@ def possible(shared: Column, n: Column, m: Column) -> Column:
     return 9 * (shared + F.greatest(n - p(n), m - p(m))) >= 4 * (n + m)
 
 
+def in_first(at: Column, n: Column, m: Column) -> Column:
+    """Whether the place (from 0) of a shingle in a set of n can be that of the first one that it shares with a set of m, if they reach 0.8."""
+    return 9 * (n - at) >= 4 * (n + m)
+
+
 def wanted_sets(docs: DataFrame, text_column: str, pairs: DataFrame, variants: DataFrame) -> DataFrame:
     """vid, shingles of the variants in pairs (a, b). Only sets that a bitmap of fixed size lets through are moved."""
     spark = docs.sparkSession
@@ -209,7 +214,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     groups = materialise(variants.groupBy("n", "p1", "p2").agg(F.min("vid").alias("gid"), F.count("*").alias("k")), "groups")
     member = materialise(variants.join(groups, ["n", "p1", "p2"]).select("vid", "gid", "n", "s1", "s2", "k"), "members")
 
-    tokens = full.select(F.col("rid").alias("gid"), "n", "prefix").join(groups.select("gid"), "gid").select("gid", "n", F.explode("prefix").alias("token"))
+    tokens = full.select(F.col("rid").alias("gid"), "n", "prefix").join(groups.select("gid"), "gid").select("gid", "n", F.posexplode("prefix").alias("at", "token"))
     met = tokens.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
     tokens = materialise(tokens.join(met, "token"), "met-tokens")
     stars = star_pairs(tokens)
@@ -221,12 +226,12 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     at = member.join(component.withColumnRenamed("node", "vid"), "vid", "left").select("vid", "gid", "n", "k", F.coalesce("component", "vid").alias("c"))
     at = materialise(at, "members-at")
     spread = at.groupBy("gid").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    rest = tokens.select("token", "gid", "n").join(spread, "gid")
+    rest = tokens.select("token", "gid", "n", "at").join(spread, "gid")
     mixed = rest.groupBy("token").agg(F.min("c_lo").alias("lo"), F.max("c_hi").alias("hi")).where("lo < hi").select("token")
     rest = materialise(rest.join(mixed, "token"), "mixed-tokens")
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("gid", "n", "c_lo", "c_hi")]) for side in "xy")
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("gid", "n", "at", "c_lo", "c_hi")]) for side in "xy")
     meet = x.join(y, "token").where("gid_x < gid_y AND NOT (c_lo_x = c_hi_x AND c_lo_y = c_hi_y AND c_lo_x = c_lo_y)").where(sizes_fit(F.col("n_x"), F.col("n_y")))
-    meet = meet.groupBy("gid_x", "gid_y", "n_x", "n_y").agg(F.count("*").alias("shared")).where(possible(F.col("shared"), F.col("n_x"), F.col("n_y"))).select("gid_x", "gid_y")
+    meet = meet.where(in_first(F.col("at_x"), F.col("n_x"), F.col("n_y")) & in_first(F.col("at_y"), F.col("n_y"), F.col("n_x"))).select("gid_x", "gid_y").distinct()
     inner = spread.where("c_lo < c_hi").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
     a, b = (at.select(F.col("gid").alias(f"gid_{side}"), F.col("vid").alias(v), F.col("c").alias(f"c_{side}")) for side, v in (("x", "a"), ("y", "b")))
     left = meet.unionByName(inner).join(a, "gid_x").join(b, "gid_y").where("c_x != c_y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
