@@ -16,17 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.llm.bytesarrays import M1, chunks, mix, word_hashes, words
 from tabveil.llm.components import connected_components
-from tabveil.session import materialise, ship
+from tabveil.session import discard, materialise, ship
 
 WORDS = 5
 SLOT_BITS, PARTS = 22, 64
 WANTED_BITS = 24
-#: Groups on one shingle that all others on it meet first.
+#: Groups on one shingle, those of the smallest hashes, that all others on it meet first.
 CENTRES = 32
 
 
@@ -127,12 +127,6 @@ def sizes_fit(n: Column, m: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m))
 
 
-def possible(shared: Column, n: Column, m: Column) -> Column:
-    """Sets of n and m that share so many shingles of their prefixes may reach 0.8: what isn't in both prefixes comes after one of them."""
-    p = lambda x: x - F.floor((4 * x + 4) / 5) + 1
-    return 9 * (shared + F.greatest(n - p(n), m - p(m))) >= 4 * (n + m)
-
-
 def in_first(at: Column, n: Column, m: Column) -> Column:
     """Whether the place (from 0) of a shingle in a set of n can be that of the first one that it shares with a set of m, if they reach 0.8."""
     return 9 * (n - at) >= 4 * (n + m)
@@ -183,18 +177,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(x.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
-def star_pairs(tokens: DataFrame) -> DataFrame:
-    """a, b (gids): each group with the centres of its shingles, those of the smallest hashes, where the two may be similar."""
-    by_hash = [F.xxhash64("gid", F.lit(i)) for i in range(CENTRES)]
-    centres = tokens.groupBy("token").agg(*[F.min_by(x, h).alias(f"{x}{i}") for i, h in enumerate(by_hash) for x in ("gid", "n")])
-    centres = centres.select("token", F.array_distinct(F.array(*[F.struct(F.col(f"gid{i}").alias("gid"), F.col(f"n{i}").alias("n")) for i in range(CENTRES)])).alias("centre"))
-    met = tokens.join(centres, "token").select("gid", "n", F.explode("centre").alias("o")).where("gid != o.gid").where(sizes_fit(F.col("n"), F.col("o.n")))
-    first = F.col("gid") < F.col("o.gid")
-    pick = lambda x, y: F.when(first, x).otherwise(y)
-    met = met.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b"), pick(F.col("n"), F.col("o.n")).alias("n_x"), pick(F.col("o.n"), F.col("n")).alias("n_y"))
-    # a shingle counts here only if one of the two is its centre, so a third of those that a pair needs are asked for
-    shared = met.groupBy("a", "b", "n_x", "n_y").agg(F.count("*").alias("shared"))
-    return shared.where(possible(3 * F.col("shared"), F.col("n_x"), F.col("n_y"))).select("a", "b")
+def meeting(x: DataFrame, y: DataFrame) -> DataFrame:
+    """gid_x, gid_y of the groups of x and y (token, gid, n, at and more) that meet on a shingle and may be similar, and may meet more than once."""
+    x, y = (df.select("token", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token"]) for df, side in ((x, "x"), (y, "y")))
+    early = in_first(F.col("at_x"), F.col("n_x"), F.col("n_y")) & in_first(F.col("at_y"), F.col("n_y"), F.col("n_x"))
+    return x.join(y, "token").where(sizes_fit(F.col("n_x"), F.col("n_y")) & early)
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -215,27 +202,32 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     member = materialise(variants.join(groups, ["n", "p1", "p2"]).select("vid", "gid", "n", "s1", "s2", "k"), "members")
 
     tokens = full.select(F.col("rid").alias("gid"), "n", "prefix").join(groups.select("gid"), "gid").select("gid", "n", F.posexplode("prefix").alias("at", "token"))
-    met = tokens.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
-    tokens = materialise(tokens.join(met, "token"), "met-tokens")
-    stars = star_pairs(tokens)
+    on = Window.partitionBy("token")
+    tokens = tokens.withColumn("rank", F.row_number().over(on.orderBy(F.xxhash64("gid")))).withColumn("size", F.count("*").over(on)).where("size > 1")
+    tokens = materialise(tokens.drop("size"), "met-tokens")
+    stars = meeting(tokens, tokens.where(F.col("rank") <= CENTRES)).where("rank_x > rank_y").select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct()
+    stars = materialise(stars, "star-groups")
     within = member.where("k > 1 AND vid != gid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
-    stars = stars.join(member.select(F.col("gid").alias("b"), "vid"), "b").select("a", F.col("vid").alias("b"))
-    pairs = materialise(stars.unionByName(within), "star-pairs")
+    pairs = stars.join(member.select(F.col("gid").alias("b"), "vid"), "b").select("a", F.col("vid").alias("b"))
+    pairs = materialise(pairs.unionByName(within), "star-pairs")
     links = verified(pairs, wanted_sets(docs, text_column, pairs, member))
     component = materialise(connected_components(links), "components")
     at = member.join(component.withColumnRenamed("node", "vid"), "vid", "left").select("vid", "gid", "n", "k", F.coalesce("component", "vid").alias("c"))
     at = materialise(at, "members-at")
     spread = at.groupBy("gid").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    rest = tokens.select("token", "gid", "n", "at").join(spread, "gid")
+    rest = tokens.where(F.col("rank") > CENTRES).join(spread, "gid")
     mixed = rest.groupBy("token").agg(F.min("c_lo").alias("lo"), F.max("c_hi").alias("hi")).where("lo < hi").select("token")
     rest = materialise(rest.join(mixed, "token"), "mixed-tokens")
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("gid", "n", "at", "c_lo", "c_hi")]) for side in "xy")
-    meet = x.join(y, "token").where("gid_x < gid_y AND NOT (c_lo_x = c_hi_x AND c_lo_y = c_hi_y AND c_lo_x = c_lo_y)").where(sizes_fit(F.col("n_x"), F.col("n_y")))
-    meet = meet.where(in_first(F.col("at_x"), F.col("n_x"), F.col("n_y")) & in_first(F.col("at_y"), F.col("n_y"), F.col("n_x"))).select("gid_x", "gid_y").distinct()
+    apart = "NOT (c_lo_x = c_hi_x AND c_lo_y = c_hi_y AND c_lo_x = c_lo_y)"
+    meet = meeting(rest, rest).where("gid_x < gid_y").where(apart).select("gid_x", "gid_y")
+    # of the groups that met a centre, only one member did
+    x, y = (spread.select(*[F.col(c).alias(f"{c}_{side}") for c in spread.columns]) for side in "xy")
+    meet = meet.unionByName(stars.select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y")).join(x, "gid_x").join(y, "gid_y").where(apart).select("gid_x", "gid_y")).distinct()
     inner = spread.where("c_lo < c_hi").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
     a, b = (at.select(F.col("gid").alias(f"gid_{side}"), F.col("vid").alias(v), F.col("c").alias(f"c_{side}")) for side, v in (("x", "a"), ("y", "b")))
     left = meet.unionByName(inner).join(a, "gid_x").join(b, "gid_y").where("c_x != c_y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = materialise(left.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs")
+    discard(tokens, stars, rest, at)
     if not left.isEmpty():
         more = verified(left, wanted_sets(docs, text_column, left, member))
         if not more.isEmpty():

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from tabveil.llm import jaccard
 from tabveil.llm.components import connected_components
 from tabveil.llm.jaccard import similar_documents
 
@@ -28,8 +31,10 @@ def brute(rows):
     return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-def test_against_brute_force(spark):
-    r = random.Random(4)
+@pytest.mark.parametrize("centres", [32, 1])
+def test_against_brute_force(spark, monkeypatch, centres):
+    monkeypatch.setattr(jaccard, "CENTRES", centres)
+    r = random.Random(4 + centres)
     word = lambda: r.choice(["the", "Of", "and", "x1", "y2", "zed", "q", "longer", "é"]) + str(r.randint(0, 30))
     shared = [word() for _ in range(30)]
     rows = []
@@ -48,6 +53,21 @@ def test_against_brute_force(spark):
     assert similar_documents(docs.limit(0)).collect() == []
 
 
+def test_members_of_one_prefix(spark):
+    """Sets of equal size whose first shingles are equal, and null ids."""
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(8):
+        x = list(words)
+        for i in range(k):
+            x[59 - i] = f"only{k}x{i}"
+        rows.append((k, " ".join(x)))
+    rows += [(20, "a b c d e f g"), (None, "a b c d e f g"), (None, "nothing like it")]
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(None if d == 99 else d, n, None if c == 99 else c) for d, n, c in brute([(99 if d is None else d, t) for d, t in rows])}
+    assert got == want
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 60)] + [(5, 5), (7, 7)]
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
