@@ -5,8 +5,8 @@ and its prefix is long enough that two similar sets share one of its shingles. E
 with equal prefix and size are one group, and only groups meet on shingles. A pair meets only where the shingle comes so
 early in both sets that it can be the first they share; it is then expanded to variants, verified on their whole sets.
 
-A group of near copies never meets in all its pairs: first each meets a few centres of its shingles, and only what these
-links have not yet put in one component meets in pairs.
+A group of near copies never meets in all its pairs: first each meets a few centres of its shingles, those with the
+fewest rare shingles of their own, and only what these links have not yet put in one component meets in pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from tabveil.session import discard, materialise, ship
 WORDS = 5
 SLOT_BITS, PARTS = 22, 64
 WANTED_BITS = 24
-#: Groups on one shingle, those of the smallest hashes, that all others on it meet first.
-CENTRES = 32
+#: Groups on one shingle, those with the fewest rarer ones, that all others on it meet first.
+CENTRES = 4
+APART = "NOT (c_lo_x = c_hi_x AND c_lo_y = c_hi_y AND c_lo_x = c_lo_y)"
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +158,8 @@ def wanted_sets(docs: DataFrame, text_column: str, pairs: DataFrame, variants: D
                     yield pa.RecordBatch.from_arrays([pa.array(s1[rows].view(np.int64)), pa.array(s2[rows].view(np.int64)), lists], ["s1", "s2", "shingles"])
 
     sets = docs.select(text_column).mapInArrow(some, "s1 long, s2 long, shingles array<long>")
-    return materialise(sets.join(wanted, ["s1", "s2"]).groupBy("vid").agg(F.first("shingles").alias("shingles")), "wanted-sets")
+    once = sets.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
+    return materialise(once.join(wanted, ["s1", "s2"]).select("vid", "shingles"), "wanted-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     tokens = full.select(F.col("rid").alias("gid"), "n", "prefix").join(groups.select("gid"), "gid").select("gid", "n", F.posexplode("prefix").alias("at", "token"))
     on = Window.partitionBy("token")
-    tokens = tokens.withColumn("rank", F.row_number().over(on.orderBy(F.xxhash64("gid")))).withColumn("size", F.count("*").over(on)).where("size > 1")
+    tokens = tokens.withColumn("rank", F.row_number().over(on.orderBy(F.col("at") / F.col("n"), F.xxhash64("gid")))).withColumn("size", F.count("*").over(on)).where("size > 1")
     tokens = materialise(tokens.drop("size"), "met-tokens")
     stars = meeting(tokens, tokens.where(F.col("rank") <= CENTRES)).where("rank_x > rank_y").select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct()
     stars = materialise(stars, "star-groups")
@@ -218,15 +220,15 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     rest = tokens.where(F.col("rank") > CENTRES).join(spread, "gid")
     mixed = rest.groupBy("token").agg(F.min("c_lo").alias("lo"), F.max("c_hi").alias("hi")).where("lo < hi").select("token")
     rest = materialise(rest.join(mixed, "token"), "mixed-tokens")
-    apart = "NOT (c_lo_x = c_hi_x AND c_lo_y = c_hi_y AND c_lo_x = c_lo_y)"
-    meet = meeting(rest, rest).where("gid_x < gid_y").where(apart).select("gid_x", "gid_y")
-    # of the groups that met a centre, only one member did
+    meet = meeting(rest, rest).where("rank_x > rank_y").where(APART).select("gid_x", "gid_y")
+    # of the groups that met a centre only one member did, and those of one prefix met only one another's first
     x, y = (spread.select(*[F.col(c).alias(f"{c}_{side}") for c in spread.columns]) for side in "xy")
-    meet = meet.unionByName(stars.select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y")).join(x, "gid_x").join(y, "gid_y").where(apart).select("gid_x", "gid_y")).distinct()
-    inner = spread.where("c_lo < c_hi").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
+    meet = meet.unionByName(stars.select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y")).join(x, "gid_x").join(y, "gid_y").where(APART).select("gid_x", "gid_y"))
+    meet = meet.unionByName(spread.where("c_lo < c_hi").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))).distinct()
     a, b = (at.select(F.col("gid").alias(f"gid_{side}"), F.col("vid").alias(v), F.col("c").alias(f"c_{side}")) for side, v in (("x", "a"), ("y", "b")))
-    left = meet.unionByName(inner).join(a, "gid_x").join(b, "gid_y").where("c_x != c_y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = materialise(left.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs")
+    unordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = unordered(meet.join(a, "gid_x").join(b, "gid_y").where("c_x != c_y")).distinct().join(unordered(pairs), ["a", "b"], "left_anti")
+    left = materialise(left, "rest-pairs")
     discard(tokens, stars, rest, at)
     if not left.isEmpty():
         more = verified(left, wanted_sets(docs, text_column, left, member))
