@@ -29,7 +29,7 @@ from tabveil.llm.bytesarrays import B, B_INV, BYTE, M1, M2, chunks, gram_hashes,
 from tabveil.llm.suffixarray import permuted_prefixes, suffix_array
 from tabveil.session import discard, materialise, ship
 
-WIDTH, GRAM = 100, 24
+WIDTH, GRAM = 100, 40
 BITMAP_BITS = 27
 SHARD_BYTES = 1 << 20
 #: Different spans of one anchor from which its windows are compared one by one.

@@ -2,8 +2,8 @@
 
 Suffixes are of type S if smaller than the next one, else L; a leftmost S (LMS) begins a substring that ends at the
 next LMS. Sorting these substrings by induction names them, the string of names is sorted recursively, and two more
-linear scans induce the order of all suffixes. Over a small alphabet a scan takes one bucket at a time with array
-operations; over the names of a recursion it goes suffix by suffix.
+linear scans induce the order of all suffixes, one bucket at a time with array operations. A recursion ends at a string
+of so many different names that buckets are small: there ties are refined, by twice as many names each time.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     n = len(s)
     if n <= 2:
         return np.arange(n)[::-1].copy()
+    if k > SMALL:
+        return ranked(s)
     kind = types(s)
     lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
-    induce = induce_by_bucket if k <= SMALL else induce_by_suffix
     if len(lms) > 1:
-        order = induce(s, k, kind, lms)
+        order = induced(s, k, kind, lms)
         is_lms = np.zeros(n, dtype=bool)
         is_lms[lms] = True
         order = order[is_lms[order]]
@@ -42,7 +43,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
             lms = lms[suffix_array(names, int(names.max()) + 1)]
         else:
             lms = order
-    return induce(s, k, kind, lms)
+    return induced(s, k, kind, lms)
 
 
 def name_substrings(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -65,7 +66,7 @@ def name_substrings(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.nda
     return names
 
 
-def induce_by_bucket(s: np.ndarray, k: int, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
+def induced(s: np.ndarray, k: int, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes in order, given the LMS in order (or, to sort their substrings, in any)."""
     n = len(s)
     sa = np.full(n, -1, np.int64)
@@ -121,30 +122,24 @@ def induce_by_bucket(s: np.ndarray, k: int, kind: np.ndarray, lms: np.ndarray) -
     return sa
 
 
-def induce_by_suffix(s: np.ndarray, k: int, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The same, one suffix after the other."""
-    n, size = len(s), np.bincount(s, minlength=k)
-    stop = np.cumsum(size)
-    head, tail = (stop - size).tolist(), stop.tolist()
-    text, smaller, sa = s.tolist(), kind.tolist(), [-1] * n
-    for p in lms[::-1].tolist():
-        tail[text[p]] -= 1
-        sa[tail[text[p]]] = p
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not smaller[p]:
-            c = text[p]
-            sa[head[c]] = p
-            head[c] += 1
-    tail = stop.tolist()
-    for i in range(n - 1, 0, -1):
-        p = sa[i] - 1
-        if p >= 0 and smaller[p]:
-            c = text[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
+def ranked(s: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of many different symbols: by one symbol, then only ties, by twice as many each time."""
+    order = np.argsort(s, kind="stable")
+    new = np.append(True, s[order[1:]] != s[order[:-1]])
+    rank = np.empty(len(s), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    tied, known = np.flatnonzero(~(new & np.append(new[1:], True))), 1
+    while len(tied):
+        i = order[tied]
+        key = rank[i] * len(s) + rank[i + known]  # the last symbol occurs once, so no tie reaches it
+        by = np.argsort(key, kind="stable")
+        i, key = i[by], key[by]
+        order[tied] = i
+        new = np.append(True, key[1:] != key[:-1])
+        rank[i] = np.maximum.accumulate(np.where(new, tied, 0))
+        tied = tied[~(new & np.append(new[1:], True))]
+        known *= 2
+    return order
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
