@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from tabveil.llm.bytesarrays import flat
 from tabveil.session import ship
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: A file of public tokenizers, by name.
+TOKENIZER = "byte_bpe_50k.json"
 #: Fixed pattern of this family of byte-level tokenizers, with Unicode's own list of white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = np.int64(1) << np.int64(62)
 POS_BITS = 24
-CACHE_PIECES = 300_000
+#: Pieces, and runs of them, that are remembered, and the longest of either: at most some 100 MB a worker.
+CACHE_PIECES, CACHE_LENGTH = 300_000, 64
 CELLS = 1 << 20
 
 
@@ -42,6 +45,10 @@ class Bpe:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        before = spec["pre_tokenizer"] or {}
+        as_known = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if spec["model"].get("type", "BPE") != "BPE" or spec["normalizer"] or not as_known or spec["model"].get("dropout") or spec["model"].get("ignore_merges"):
+            raise ValueError("not a byte-level BPE tokenizer with the usual pattern, no normalizer and no added space")
         vocab, letters = spec["model"]["vocab"], byte_letters()
         size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.bytes_of: list[bytes] = [b""] * size
@@ -131,32 +138,35 @@ class Bpe:
         return [tuple(flat_tokens[a:b]) for a, b in zip([0, *count], count)]
 
     def merge_one(self, piece: bytes) -> tuple[int, ...]:
-        """The same steps for one piece of any length."""
-        n = len(piece)
+        """The same steps for one piece of any length; its tree takes 16 to 32 bytes a byte."""
+        n, none, low = len(piece), 1 << 62, (1 << 40) - 1
         size = 1 << max(0, n - 1).bit_length()
-        token = [int(self.first[b]) for b in piece]
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        none, bits = (1 << 62, -1, -1), self.rank_of
-
-        def leaf(i: int) -> tuple[int, int, int]:
-            found = bits.get((token[i] << 20) | token[after[i]]) if after[i] >= 0 else None
-            return (found[0], i, found[1]) if found else none
-
-        tree = [none] * (2 * size)
-        for i in range(n):
-            tree[size + i] = leaf(i)
-        for node in range(size - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        ids = self.first[np.frombuffer(piece, np.uint8)]
+        start = self.leaves(ids, np.append(ids[1:], -1), np.zeros(n, np.int64))
+        nodes = np.full(2 * size, none)
+        nodes[size : size + n] = np.where(start == NONE, none, (start >> POS_BITS << 40) | np.arange(n))
+        width = size
+        while width > 1:
+            nodes[width // 2 : width] = np.minimum(nodes[width : 2 * width : 2], nodes[width + 1 : 2 * width : 2])
+            width //= 2
+        tree, token = array("q", nodes.tobytes()), array("q", ids.tobytes())
+        after, before = array("q", np.append(np.arange(1, n), -1).tobytes()), array("q", np.arange(-1, n - 1).tobytes())
+        pairs = self.rank_of
 
-        def put(i: int, value: tuple[int, int, int]) -> None:
+        def put(i: int, value: int) -> None:
             node = size + i
             tree[node] = value
             while node > 1:
                 node >>= 1
-                tree[node] = min(tree[2 * node], tree[2 * node + 1])
+                a, b = tree[2 * node], tree[2 * node + 1]
+                tree[node] = a if a < b else b
+
+        def leaf(i: int) -> int:
+            found = pairs.get((token[i] << 20) | token[after[i]]) if after[i] >= 0 else None
+            return (found[0] << 40) | i if found else none
 
-        while tree[1] is not none and tree[1][1] >= 0:
-            _, i, made = tree[1]
+        while tree[1] < none:
+            i, made = tree[1] & low, int(self.made[tree[1] >> 40])
             j = after[i]
             token[i], token[j], after[i] = made, -1, after[j]
             if after[i] >= 0:
@@ -167,8 +177,9 @@ class Bpe:
                 put(before[i], leaf(before[i]))
         return tuple(t for t in token if t >= 0)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces into the cache."""
+    def learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        """The tokens of pieces."""
+        out = {}
         raw = [p.encode() for p in pieces]
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
@@ -178,13 +189,14 @@ class Bpe:
             of = np.flatnonzero(size == s)
             if s > 4096 or len(of) < 8:
                 for i in of.tolist():
-                    self.cache[pieces[i]] = self.merge_one(raw[i])
+                    out[pieces[i]] = self.merge_one(raw[i])
                 continue
             step = max(1, CELLS // (2 * s))
             for lo in range(0, len(of), step):
                 part = of[lo : lo + step]
                 for i, ids in zip(part.tolist(), self.merge_many(data, begin[part], length[part], s), strict=True):
-                    self.cache[pieces[i]] = ids
+                    out[pieces[i]] = ids
+        return out
 
     def parts(self, text: str) -> list[str | int]:
         """Special tokens as ids, and the text between them cut before single spaces where no piece goes across.
@@ -208,23 +220,32 @@ class Bpe:
         cut = [(p, self.pieces.findall(p)) for p in new if isinstance(p, str)]
         pieces = {w for _, x in cut for w in x}
         pieces.difference_update(self.cache)
-        self.learn(list(pieces))
-        get = self.cache.__getitem__
+        learned = self.learn(list(pieces))
+        self.cache.update((w, ids) for w, ids in learned.items() if len(w) <= CACHE_LENGTH)
+        long = {w: ids for w, ids in learned.items() if len(w) > CACHE_LENGTH}  # of these texts only
+        get = (lambda w: long[w] if w in long else self.cache[w]) if long else self.cache.__getitem__
+        once = {}
         for p, x in cut:
-            self.runs[p] = get(x[0]) if len(x) == 1 else tuple(chain.from_iterable(map(get, x)))
+            into = self.runs if len(p) <= CACHE_LENGTH else once
+            into[p] = get(x[0]) if len(x) == 1 else tuple(chain.from_iterable(map(get, x)))
         for p in new:
             if isinstance(p, int):
                 self.runs[p] = (p,)
+        of = (lambda p: once[p] if p in once else self.runs[p]) if once else self.runs.__getitem__
         for x in found:
-            yield list(chain.from_iterable(map(self.runs.__getitem__, x)))
+            yield list(chain.from_iterable(map(of, x)))
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids in UTF-8; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace").encode()
 
 
-def tokenizer_text(df: DataFrame, path: str) -> str:
-    """The tokenizer file: read on the driver, where its path is a parameter, and sent to the tasks."""
+def tokenizer_file(path: str | None, name: str) -> str:
+    """The text of a tokenizer's file, by its path or that of a public tokenizer: read on the driver and sent to the tasks."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(name)
     with open(path, encoding="utf-8") as f:
         return f.read()
 
@@ -239,7 +260,7 @@ def text_groups(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Ite
         lo = hi
 
 
-def encode_decode(docs: DataFrame, path: str = TOKENIZER, id_column: str = "doc_id", text_column: str = "text", digests: bool = False, check: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text", digests: bool = False, check: bool = False) -> DataFrame:
     """Encode each text, then decode its ids: id_column, ids array<int>, decoded; with digests n_tokens and SHA-256 instead.
 
     With check, same says whether the decoded text is the text, and takes its place.
@@ -248,7 +269,7 @@ def encode_decode(docs: DataFrame, path: str = TOKENIZER, id_column: str = "doc_
     other columns are not read. A map over partitions: no shuffle, and the cache of pieces is bounded.
     """
     ship(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(docs, path))
+    spec = docs.sparkSession.sparkContext.broadcast(tokenizer_file(path, TOKENIZER))
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, same boolean" if check else "ids array<int>, decoded string")
 

@@ -92,8 +92,10 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     gone = deleted_lines(docs, id_column, text_column, min_chars).select(F.col("_id").alias("_gone_id"), F.col("_h").alias("_gone_h"), F.col("gone").alias("_gone"))
     x = docs.withColumn("_text_h", F.xxhash64(text_column)).join(gone, (F.struct(F.col(id_column).alias("id")) == F.col("_gone_id")) & (F.col("_text_h") == F.col("_gone_h")), "left")
     cut = F.split(F.col(text_column), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n"))
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    # inside a function of its own, so that the text is split once
+    kept = F.transform(F.array(cut), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))[0]
+    text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(kept)
     columns = [text.alias(c) if c == text_column else F.col(c) for c in docs.columns]
     if report:
         columns += [F.when(F.col(text_column).isNotNull(), F.size(cut)).otherwise(0).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]

@@ -63,7 +63,7 @@ def op10(spark, sf_dir):
 
 @query("op8_pii")
 def op8(spark, sf_dir):
-    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), "key of this registered query")
 
 
 @query("op9_decontaminate")

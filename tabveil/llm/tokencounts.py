@@ -20,19 +20,24 @@ from pyspark.sql import functions as F
 from tabveil.llm.bpe import PIECES, text_groups
 from tabveil.session import materialise, ship
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A file of public tokenizers, by name.
+RANKS = "byte_bpe_50k.tiktoken"
 END = 50256
 BLOCK_TOKENS = 1 << 15
 SEGMENT = 1024
 
 
-def token_files(docs: DataFrame, ranks_path: str = RANKS, end: int = END, block_tokens: int = BLOCK_TOKENS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def token_files(docs: DataFrame, ranks_path: str | None = None, end: int = END, block_tokens: int = BLOCK_TOKENS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """file, block, data: each partition's texts as one flat file in blocks; and first, ids: the ids in order, the first with its number in the file.
 
     Only the counting of these ids goes with a file, not where documents begin. Null and empty texts are a lone
     separator. Strings that look like special tokens are ordinary text.
     """
     ship(docs.sparkSession)
+    if ranks_path is None:
+        import public_tokenizers
+
+        ranks_path = public_tokenizers.path(RANKS)
     with open(ranks_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_column].dataType.simpleString()

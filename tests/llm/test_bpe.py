@@ -1,16 +1,17 @@
 import hashlib
 
 import pytest
+from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from tabveil.llm.bpe import TOKENIZER, Bpe, encode_decode
+from tabveil.llm.bpe import Bpe, encode_decode
 
 TEXTS = ["", "a", "aa" * 3000, "x<|endoftext|>y <|endoftext|><|endoftext|>", "\x1c\x1d a\x85b 　 c\xa0\xa0d  \n\n e\t\tf", "don't I'll WE'RE 12345 ½²", "日本語テスト 🎉🎉", "a\x00b\r\n  \r\n", "!!!! ??? 'x 's", "z" * 9000, "tail ", " head", "same", "same"]
 
 
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(TOKENIZER)
+    return Tokenizer.from_file(path("byte_bpe_50k.json"))
 
 
 def test_ids_and_text_as_the_library(spark, library):
@@ -28,8 +29,20 @@ def test_ids_and_text_as_the_library(spark, library):
 
 
 def test_one_and_many_trees_agree():
-    b = Bpe(open(TOKENIZER).read())
+    b = Bpe(open(path("byte_bpe_50k.json")).read())
     pieces = [" thtionansh", "ononon", "é", "a", "ththththth", "zzzz"] * 3
-    b.learn([p + str(n) for n, p in enumerate(pieces)])
-    for p, ids in b.cache.items():
+    for p, ids in b.learn([p + str(n) for n, p in enumerate(pieces)]).items():
         assert ids == b.merge_one(p.encode())
+
+
+def test_long_texts_are_not_remembered(library):
+    """One unbroken piece of 200,000 letters, and long texts with runs of spaces."""
+    b = Bpe(open(path("byte_bpe_50k.json")).read())
+    texts = ["".join("abcdefgh"[i * i % 97 % 8] for i in range(200_000)), "some  words with  spaces " * 5000, "short text"]
+    assert [list(x) for x in b.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(len(k) for c in (b.cache, b.runs) for k in c if isinstance(k, str)) <= 64
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        Bpe(open(path("word_bpe_49k.json")).read())

@@ -36,3 +36,14 @@ def test_repeated_rows_null_ids_and_empty(spark):
     got = sorted(x.text for x in drop_repeated_lines(docs, min_chars=3).collect())
     assert got == ["abc\ny", "q", "x", "x"]
     assert drop_repeated_lines(docs.limit(0), min_chars=3).collect() == []
+
+
+def test_a_text_of_many_lines(spark):
+    """50,000 lines, of which a run comes twice; a text of which the run is repeated; null ids."""
+    run = [f"repeated line {n} with enough characters" for n in range(20)]
+    lines = [f"line {n}" for n in range(50_000)]
+    long = "\n".join([*lines[:100], *run, *lines[100:], *run])
+    docs = spark.createDataFrame([(1, long), (2, "\n".join(["own", *run])), (None, "x"), (None, None), (3, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.text is None): r for r in drop_repeated_lines(docs, report=True).collect()}
+    assert got[1, False].text == "\n".join([*lines[:100], *run, *lines[100:]]) and got[1, False].n_removed == 20
+    assert got[2, False].text == "own" and got[None, False].text == "x" and got[3, False].text == ""

@@ -1,8 +1,8 @@
 import corpus_pipeline
 import pytest
+from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from tabveil.llm.bpe import TOKENIZER
 from tabveil.llm.quality import classify
 from tests.llm import test_decontam, test_jaccard, test_linededup
 
@@ -40,7 +40,7 @@ def test_each_stage_against_brute_force(spark, stages):
     found = {d for d, *_ in test_decontam.brute(near, items)}
     gone = set(texts(single)) - set(texts(clean))
     assert found <= gone and (gone - found).isdisjoint(d for d, _ in near)
-    library = Tokenizer.from_file(TOKENIZER)
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
     for r in coded.collect():
         assert r.ids == library.encode(texts(clean)[r.doc_id], add_special_tokens=False).ids and r.same and r.n_tokens == len(r.ids)
     assert coded.count() == clean.count() > 0

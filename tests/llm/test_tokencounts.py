@@ -2,10 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from public_tokenizers import path
 from tokenizers import Tokenizer
 
 from tabveil.llm import tokencounts
-from tabveil.llm.bpe import TOKENIZER
 
 
 @pytest.mark.parametrize("segment", [1, 2, 1024])
@@ -38,7 +38,7 @@ def test_against_a_plain_scan(spark, segment, tmp_path):
 def test_documents(spark):
     texts = ["", None, "a <|endoftext|> b", "word " * 30000, "x", "x", "é" * 99]
     docs = spark.createDataFrame([(n, t, 1) for n, t in enumerate(texts)], "doc_id long, text string, first int").repartition(3)
-    library = Tokenizer.from_file(TOKENIZER)
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
     library.encode_special_tokens = True
     got = {x.doc_id: x.n_tokens for x in tokencounts.count_tokens(docs, block_tokens=64).collect()}
     assert got == {n: len(library.encode(t or "", add_special_tokens=False).ids) for n, t in enumerate(texts)}
