@@ -23,6 +23,7 @@ from tabveil.session import materialise, ship
 MASKS = ("11111", "111011", "11001011")
 MIN_TOKENS, MIN_SHARE = 13, 0.8
 SHORTEST = 10
+#: Tokens to each side of its seeds on which an alignment is tried before whole texts are compared.
 REACH = 64
 BITS = 24
 TOKEN_BREAK = np.ones(256, dtype=bool)
@@ -78,8 +79,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
 
     An overlap is an alignment of the two texts in which a stretch of at least min_tokens tokens (or the whole item, if
     that is shorter, but at least SHORTEST), of which at least min_share are equal, is found; with the default numbers
-    every such stretch holds a seed that both share, with lower ones only those that do are found. A stretch is looked
-    for up to REACH tokens to each side of its seeds, so of a longer one a part may be reported. Tokens are runs of letters and digits,
+    every such stretch holds a seed that both share, with lower ones only those that do are found. Each alignment that
+    passes around its seeds is then compared over the whole text and item. Tokens are runs of letters and digits,
     so punctuation and case of A-Z don't count. Items of equal tokens count once, under the smallest id. Rows that
     repeat a document's id are taken together. Null and empty texts overlap with nothing; empty tables give no rows.
     """
@@ -108,8 +109,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(sent.value).view(bool)
         for b in batches:
-            ids = b.column(b.schema.get_field_index(id_column))
-            for lo, _, tokens, first in token_arrays(b, text_column):
+            ids = b.column(b.schema.get_field_index("doc"))
+            for lo, _, tokens, first in token_arrays(b, "text"):
                 hit_at, hit_seed = [], []
                 for _, place, h in seeds(tokens, first):
                     good = np.flatnonzero(known[(h >> np.uint64(64 - BITS)).astype(np.int64)])
@@ -132,35 +133,55 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
                 take = np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(left, size)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(lo + owner[start])), pa.array(left - first[owner[start]]), lists(signed(tokens[take]), at), lists(signed(seed), np.append(start, len(place))), lists((place - np.repeat(left, stop - start)).astype(np.int32), np.append(start, len(place)))],
-                    [id_column, "left", "tokens", "seeds", "places"],
+                    ["doc", "left", "tokens", "seeds", "places"],
                 )
 
-    found = materialise(docs.select(id_column, text_column).mapInArrow(regions, f"`{id_column}` {id_kind}, left long, tokens array<long>, seeds array<long>, places array<int>").withColumn("region", F.xxhash64(F.col(id_column), "left", "tokens")), "decontam-regions")
+    texts = docs.select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h")).alias("doc"), F.col(text_column).alias("text"))
+    doc_kind = texts.schema["doc"].dataType.simpleString()
+    found = texts.mapInArrow(regions, f"doc {doc_kind}, left long, tokens array<long>, seeds array<long>, places array<int>")
+    found = materialise(found.withColumn("region", F.xxhash64("doc", "left", "tokens")), "decontam-regions")
     hits = found.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("region", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
     aligned = hits.join(wanted, "seed").groupBy("region", "item_id", (F.col("place") - F.col("item_at")).alias("shift")).agg(F.min("item_at").alias("low"), F.max("item_at").alias("high"))
-    pairs = aligned.join(found.select("region", F.col(id_column).alias("_id"), F.col("tokens").alias("_tokens")).dropDuplicates(["region"]), "region").join(items, "item_id")
+    pairs = aligned.join(found.select("region", "doc", "left", F.col("tokens").alias("_tokens")).dropDuplicates(["region"]), "region").join(items, "item_id")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def enough(size: int, item: np.ndarray) -> bool:
+        return size >= max(SHORTEST, min(min_tokens, len(item)))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, sizes, equals = [], [], []
-            for n, (x, y, shift, low, high) in enumerate(zip(b.column(1), b.column(2), *(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)):
-                text, item = x.values.to_numpy(), y.values.to_numpy()
-                size, equal = longest(text, item, shift, low, high, min_share)
-                if size >= max(SHORTEST, min(min_tokens, len(item))):
-                    keep.append(n)
+            text, item = b.column(0), b.column(1)
+            keep = []
+            for n, (shift, low, high) in enumerate(zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
+                y = item[n].values.to_numpy()
+                lo, hi = max(0, low - REACH), min(len(y), high + REACH)
+                keep += [n] if enough(longest(text[n].values.to_numpy(), y[lo:hi], shift + lo, min_share)[0], y) else []
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(i).take(rows) for i in (5, 6, 7)], ["doc", "item_id", "shift"])
+
+    near_kind = f"doc {doc_kind}, item_id {kind}, shift long"
+    good = pairs.select("_tokens", "tokens", "shift", "low", "high", "doc", "item_id", (F.col("shift") + F.col("left")).alias("whole_shift")).mapInArrow(near, near_kind)
+    good = materialise(good.groupBy("doc", "item_id").agg(F.collect_set("shift").alias("shifts")), "decontam-alignments")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, tokens, first in token_arrays(b, "text"):
+                sizes, equals = [], []
+                for n in range(lo, hi):
+                    text, item = tokens[first[n - lo] : first[n - lo + 1]].view(np.int64), b.column(2)[n].values.to_numpy()
+                    size, equal = max(longest(text, item, shift, min_share) for shift in b.column(1)[n].as_py())
                     sizes.append(size)
                     equals.append(equal)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(6).take(rows), pa.array(sizes, pa.int64()), pa.array(equals, pa.int64())], [id_column, "item_id", "n_tokens", "n_equal"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in (3, 4)), pa.array(sizes, pa.int64()), pa.array(equals, pa.int64())], [id_column, "item_id", "n_tokens", "n_equal"])
 
-    checked = pairs.select("_id", "_tokens", "tokens", "shift", "low", "high", "item_id").mapInArrow(verify, f"`{id_column}` {id_kind}, item_id {kind}, n_tokens long, n_equal long")
+    checked = texts.join(good, "doc").dropDuplicates(["doc", "item_id"]).join(items, "item_id").select("text", "shifts", "tokens", F.col("doc.id").alias("id"), "item_id")
+    checked = checked.mapInArrow(whole, f"`{id_column}` {id_kind}, item_id {kind}, n_tokens long, n_equal long")
     best = F.max(F.struct("n_tokens", "n_equal"))
     return checked.groupBy(id_column, "item_id").agg(best.alias("x")).select(id_column, "item_id", "x.n_tokens", "x.n_equal")
 
 
-def longest(text: np.ndarray, item: np.ndarray, shift: int, low: int, high: int, share: float) -> tuple[int, int]:
-    """Size and equal tokens of the longest stretch with that share equal, within REACH of the hits at low to high; it begins and ends with equal tokens."""
-    lo, hi = max(0, -shift, low - REACH), min(len(item), len(text) - shift, high + REACH)
+def longest(text: np.ndarray, item: np.ndarray, shift: int, share: float) -> tuple[int, int]:
+    """Size and equal tokens of the longest stretch of the item, moved by shift into the text, with that share equal; it begins and ends with equal tokens."""
+    lo, hi = max(0, -shift), min(len(item), len(text) - shift)
     if hi <= lo:
         return 0, 0
     same = item[lo:hi] == text[lo + shift : hi + shift]
@@ -171,13 +192,14 @@ def longest(text: np.ndarray, item: np.ndarray, shift: int, low: int, high: int,
     # a stretch a..b is good if good[b + 1] >= good[a] for good = sums - share * place
     good = sums - share * np.arange(len(sums))
     top = np.maximum.accumulate(good[ends + 1][::-1])[::-1]  # the best end from each end on
-    best = (0, 0)
-    for n, a in enumerate(ends.tolist()):
-        reach = np.searchsorted(-top[n:], -(good[a] - 1e-9), side="right")
-        if reach:
-            b = int(ends[n + reach - 1])
-            best = max(best, (b + 1 - a, int(sums[b + 1] - sums[a])))
-    return best
+    last = np.searchsorted(-top, -(good[ends] - 1e-9), side="right") - 1
+    fits = np.flatnonzero(last >= np.arange(len(ends)))
+    if not len(fits):
+        return 0, 0
+    size = ends[last[fits]] + 1 - ends[fits]
+    equal = sums[ends[last[fits]] + 1] - sums[ends[fits]]
+    n = np.lexsort((equal, size))[-1]
+    return int(size[n]), int(equal[n])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
