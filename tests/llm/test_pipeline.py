@@ -49,3 +49,20 @@ def test_each_stage_against_brute_force(spark, stages):
 def test_run_is_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in stages[-1].collect())
+
+
+def test_rows_of_odd_kinds(spark):
+    """Repeated and null ids, null, empty and long texts, and an empty table, through the stages that filter by text."""
+    long = " ".join(f"word{n * n % 7919}" for n in range(60_000))
+    t, u, v = ("some text of eight words that is here", "quite another text that no other row has at all", "a third one of some words, for the null")
+    rows = [(1, t), (4, t), (4, u), (None, v), (5, None), (6, ""), (7, long), (8, long + " end"), (9, u + " x1 x2 x3 x4 x5"), (9, u + " x1 x2 x3 x4 x5")]
+    start = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").select(*[c for c in start.columns])
+    got = corpus_pipeline.jaccard_join(spark, docs, SF)
+    assert got.columns == docs.columns
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(1, t), (4, u), (None, v), (5, None), (6, ""), (7, long), (9, u + " x1 x2 x3 x4 x5")], key=key)
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.decontaminate):
+        assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
+    assert sum(r.doc_id is None for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()) == 1
+    assert corpus_pipeline.bpe_encode(spark, docs, SF).where("n_tokens = 0").count() == 2
