@@ -28,18 +28,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the smallest id."""
-    found = jaccard.similar_documents(docs.select("doc_id", "text"))
-    return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One document of each component stays: that of the smallest id, then of the smallest hash of its text.
+
+    Null ids come last; rows that repeat both id and text are one document, of which one row stays. Null and empty texts
+    have no shingles and stay. An empty table gives none.
+    """
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    found = jaccard.similar_documents(keyed.select("_key", "text"), id_column="_key").where("_key = component_id").select("_key").distinct()
+    return keyed.join(found, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go, and all rows of their id with them.
+
+    Rows with a null id stay, as do null and empty texts; repeated rows share their fate. An empty benchmark removes none.
+    """
     return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and whether the ids decode to the text."""
+    """doc_id, ids, n_tokens and whether the ids decode to the text, one row for each row; null and empty texts have no ids."""
     found = bpe.encode_decode(docs, check=True)
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "same")
 
