@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabveil.session import materialise
+
 
 def constrain(df: DataFrame, rules: list[str], lenient: bool = False) -> DataFrame:
     """Rows that satisfy every SQL predicate; a predicate that is NULL drops the row unless lenient."""
@@ -36,8 +38,12 @@ def match_conditions(df: DataFrame, wanted: dict[str, object], tolerance: float
 
 
 def drop_small_cells(df: DataFrame, columns: list[str], person: str, least: int = 5) -> DataFrame:
-    """Rows whose value in each column is held by at least `least` persons; columns one after another; NULL stays."""
-    for c in columns:
+    """Rows whose value in each column is held by at least `least` persons; columns one after another; NULL stays.
+
+    Each step is written down, as the next one reads it twice.
+    """
+    for n, c in enumerate(columns):
+        df = materialise(df, "large-cells") if n else df
         keep = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count_distinct(person).alias("_n")).where(F.col("_n") >= least).select(F.col(c).alias("_keep"))
         df = df.join(keep, F.col(c) == F.col("_keep"), "left").where(F.col(c).isNull() | F.col("_keep").isNotNull()).drop("_keep")
     return df
