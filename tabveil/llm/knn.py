@@ -2,10 +2,11 @@
 
 Pivots cut the space into cells. Every vector goes to its nearest pivot's cell; a summary of each cell (how many
 vectors lie within each step of distance, and the largest norm) bounds from below the k-th best score that a query
-can count on. Queries are grouped by cell; a group keeps the lowest of these bounds and its queries' largest distance
-from the pivot. A data vector x is copied to a group only where p.x + u*|x| (p the group's pivot, u that distance)
-reaches the group's bound: no query of the group can score more. Groups are solved in blocks of bounded size, and the
-blocks' winners are ranked.
+can count on, and so does the k-th best score among the sample that the pivots come from. Queries are grouped by cell; a
+group keeps the lowest of these bounds and its queries' largest distance from the pivot. A data vector x is copied to a
+group only where p.x + u*|x| (p the group's pivot, u that distance) reaches the group's bound: else no query of the
+group can want it. Groups that would get nearly all vectors, as in many dimensions, are put together, so that these are
+copied once for all. Groups are solved in blocks of bounded size, and the blocks' winners are ranked.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from tabveil.session import materialise, ship
 
 #: Pivots are fitted on at most this many vectors, those of the smallest hashes of their ids.
 PIVOT_SAMPLE = 4096
-PIVOTS = 16
+PIVOTS = 64
 RINGS = 32
 QUERY_BLOCK, DATA_BLOCK = 1024, 16384
+#: The cell of the queries that all vectors meet.
+ALL = -1
 
 
 def integer_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 256) -> DataFrame:
@@ -61,6 +64,17 @@ def cells(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.sqrt(np.maximum(((x - pivots[cell]) ** 2).sum(axis=1), 0)) * (1 + 1e-9) + 1e-6
 
 
+def meet_all(share: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which groups of n queries are better put together and met by all vectors once than each by its share of the vectors."""
+    blocks = np.ceil(n / QUERY_BLOCK)
+    order = np.argsort(-share, kind="stable")
+    together = np.ceil(np.concatenate([[0], np.cumsum(n[order])]) / QUERY_BLOCK)
+    apart = np.concatenate([np.cumsum((share * blocks)[order][::-1])[::-1], [0]])
+    out = np.zeros(len(n), dtype=bool)
+    out[order[: int((together + apart).argmin())]] = True
+    return out
+
+
 def top_k(spark_vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row (vec_id, vec) with is_query the k rows of other ids with the largest integer inner product.
 
@@ -71,14 +85,17 @@ def top_k(spark_vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int
     spark = spark_vectors.sparkSession
     ship(spark)
     vectors = spark_vectors.select("vec_id", "vec")
-    first = vectors.select("vec", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(PIVOT_SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
+    picked = vectors.select("vec_id", "vec", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(PIVOT_SAMPLE).toArrow()
+    first, sample_ids = picked.column("vec").combine_chunks(), picked.column("vec_id").to_numpy()
     width = int(vectors.agg(F.max(F.size("vec"))).first()[0] or 0)
     if isinstance(first, pa.ChunkedArray):
         first = first.chunk(0) if first.num_chunks else pa.array([], pa.list_(pa.int64()))
     schema = "query_id long, rank int, vec_id long, score long"
     if not len(first) or not width:
         width = max(width, 1)
-    pivots = pick_pivots(matrix(first, width), n_pivots) if len(first) else np.zeros((1, width))
+    sample = matrix(first, width) if len(first) else np.zeros((0, width))
+    pivots = pick_pivots(sample, n_pivots) if len(first) else np.zeros((1, width))
+    sent = spark.sparkContext.broadcast((sample_ids, sample))  # at most PIVOT_SAMPLE rows
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,7 +104,8 @@ def top_k(spark_vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell, pa.int32()), pa.array(d), pa.array(np.sqrt((x * x).sum(axis=1))), b.column(1)], ["vec_id", "cell", "d", "norm", "vec"])
 
     assigned = materialise(vectors.mapInArrow(assign, "vec_id long, cell int, d double, norm double, vec array<long>"), "knn-cells")
-    queries = assigned.where(is_query).dropDuplicates(["vec_id"])
+    queries = materialise(assigned.where(is_query).dropDuplicates(["vec_id"]), "knn-queries")
+    copies = int(assigned.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)  # rows that a query's own id may have
     far = float(assigned.agg(F.max("d")).first()[0] or 1.0)
     rings = assigned.groupBy("cell", F.ceil(F.col("d") * (RINGS / far)).cast("int").alias("ring")).count().collect()  # at most pivots x (RINGS + 2) rows
     ring_cell = np.array([r.cell for r in rings], dtype=np.int64)
@@ -102,9 +120,14 @@ def top_k(spark_vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int
                 least = (q @ pivots.T)[:, ring_cell] - np.sqrt((q * q).sum(axis=1))[:, None] * ring_far
                 order = np.argsort(-least, axis=1)
                 seen = np.cumsum(ring_n[order], axis=1)  # k others and, it may be, the query itself
-                enough = seen >= k + 1
+                enough = seen >= k + copies
                 at = np.where(enough.any(axis=1), enough.argmax(axis=1), -1)
                 low = np.where(at >= 0, np.take_along_axis(least, np.take_along_axis(order, at[:, None], axis=1), axis=1)[:, 0], -math.inf)
+            ids, vectors_there = sent.value
+            for lo in range(0, len(q) if len(ids) >= k else 0, 512):  # the k-th best score of the sample's rows is a bound too
+                score = q[lo : lo + 512] @ vectors_there.T
+                score[b.column(0).to_numpy()[lo : lo + 512, None] == ids] = -math.inf
+                low[lo : lo + 512] = np.maximum(low[lo : lo + 512], np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k])
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(low)], ["cell", "d", "low"])
 
     q_in = queries.select("vec_id", "cell", "d", "vec")
@@ -115,12 +138,23 @@ def top_k(spark_vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int
     g_low = np.array([g.low for g in groups])
     g_u = np.array([g.u for g in groups])
     n_rows = int(ring_n.sum())
-    q_blocks = {g.cell: max(1, math.ceil(g.n / QUERY_BLOCK)) for g in groups}
+    # what the summaries leave of the sample tells which groups are worth copies of their own
+    reached = sample @ pivots[g_cell].T + np.sqrt((sample * sample).sum(axis=1))[:, None] * g_u >= g_low
+    g_n, g_all = np.array([g.n for g in groups]), meet_all(reached.mean(axis=0), np.array([g.n for g in groups]))
+    q_blocks = {g.cell: max(1, math.ceil(g.n / QUERY_BLOCK)) for g, a in zip(groups, g_all, strict=True) if not a}
+    if g_all.any():
+        q_blocks[ALL] = max(1, math.ceil(int(g_n[g_all].sum()) / QUERY_BLOCK))
+        cell = F.when(F.col("cell").isin([int(c) for c in g_cell[g_all]]), F.lit(ALL)).otherwise(F.col("cell"))
+        q_in = q_in.withColumn("cell", cell)
+    g_cell, g_low, g_u = (x[~g_all] for x in (g_cell, g_low, g_u))
+    meets_all = bool(g_all.any())
     d_blocks = max(1, math.ceil(n_rows / DATA_BLOCK))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, vec = matrix(b.column(1), width), b.column(1)
+            if meets_all:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), ALL), pa.int32()), b.column(0), vec], ["cell", "vec_id", "vec"])
             reach = x @ pivots[g_cell].T + np.sqrt((x * x).sum(axis=1))[:, None] * g_u
             for g in range(len(g_cell)):
                 rows = np.flatnonzero(reach[:, g] * (1 + 1e-9) + 1e-3 + np.abs(reach[:, g]) * 1e-9 >= g_low[g])
