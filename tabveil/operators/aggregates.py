@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabveil.operators.codes import quantiles
+
 
 def visit_history(df: DataFrame, person: str, date: str, tie: str, measures: list[str], constants: list[str], slots: int = 5) -> DataFrame:
     """One row a person: the last `slots` visits right-aligned (slot `slots` is the last), n_events, and the first known constants.
@@ -50,13 +52,11 @@ def missing_percentages(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, mean, std, min, q1, median, q3, max of numeric columns, exact, in one pass."""
-    def of(c: str) -> Column:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev(x).alias("std"), F.min(x).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("max"))
-
-    return df.agg(F.array(*[of(c) for c in columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    """column, n, mean, std, min, q1, median, q3, max of numeric columns, exact; quartiles by ranks in range partitions."""
+    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v")
+    x = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantiles(long, ["column"], "v", [0.25, 0.5, 0.75]).select("_g.column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    return x.join(q, "column", "left").select("column", "n", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def side_by_side(tables: dict[str, DataFrame], columns: list[str]) -> DataFrame:
@@ -82,8 +82,9 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def grouped_quartiles(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
-    q = F.percentile(measure, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*keys).agg(F.count(measure).alias("n"), q.alias("q")).select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    """keys, n, q1, median, q3 of the known measures of each group; a group without any has NULL quartiles."""
+    x = df.groupBy(F.struct(F.lit(0).alias("_all"), *keys).alias("_g")).agg(F.count(measure).alias("n")).join(quantiles(df, keys, measure, [0.25, 0.5, 0.75]), "_g", "left")
+    return x.select(*[F.col("_g")[k].alias(k) for k in keys], "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
 def format_conflicts(df: DataFrame, columns: list[str]) -> DataFrame:

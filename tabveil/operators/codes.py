@@ -80,3 +80,26 @@ def running(df: DataFrame, group: str, order: str, sums: list[str], buckets: int
     x = x.withColumns({**{f"{s}_upto": F.sum(s).over(here) for s in sums}, "previous": F.lag(order).over(here)})
     x = x.join(shift, (F.col("_part") == F.col("_run_part")) & F.col(group).eqNullSafe(F.col("_run_group")))
     return x.withColumns({**{f"{s}_upto": F.col(f"{s}_upto") + F.col(f"_{s}") for s in sums}, "previous": F.coalesce("previous", "_last")}).select(*df.columns, *[f"{s}_upto" for s in sums], "previous")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], cells: int = 1024) -> DataFrame:
+    """_g (a struct with the keys), q: the exact quantiles of each group's known values, linear between neighbouring ranks.
+
+    Equal values are counted first. Running counts over range partitions give the ranks that each value covers; the
+    wanted ranks meet them by cells of ranks, so neither a task nor a buffer holds a whole group. A group without
+    known values has no row.
+    """
+    x = df.where(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0).alias("_all"), *keys).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    x = running(x, "_g", "_v", ["n"])
+    width = F.ceil(F.col("_total") / cells)
+    total = x.groupBy("_g").agg(F.max("n_upto").alias("_total"))
+    covered = x.join(total, "_g").withColumns({"_hi": F.col("n_upto") - 1, "_lo": F.col("n_upto") - F.col("n")})
+    covered = covered.select("_g", "_v", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))).alias("_cell"))
+    at = total.select("_g", "_total", F.posexplode(F.array(*map(F.lit, shares))).alias("_i", "_share")).withColumn("_at", F.col("_share") * (F.col("_total") - 1))
+    low, high = F.floor("_at"), F.ceil("_at")
+    part = lambda rank, weight: F.struct(rank.alias("rank"), weight.alias("weight"))
+    ends = F.when(low == high, F.array(part(low, F.lit(1.0)))).otherwise(F.array(part(low, high - F.col("_at")), part(high, F.col("_at") - low)))
+    wanted = at.select("_g", "_i", F.explode(ends).alias("_x"), width.alias("_width")).select("_g", "_i", "_x.*", F.floor(F.col("_x.rank") / F.col("_width")).alias("_cell"))
+    found = covered.join(wanted, ["_g", "_cell"]).where(F.col("rank").between(F.col("_lo"), F.col("_hi")))
+    one = found.groupBy("_g", "_i").agg(F.sum(F.col("weight") * F.col("_v")).alias("_q"))
+    return one.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("q"))  # one entry a share

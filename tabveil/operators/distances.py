@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.operators.codes import running
+from tabveil.operators.codes import quantiles, running
 from tabveil.operators.joins import paired_shares
 from tabveil.operators.neighbours import k_nearest
 from tabveil.operators.sampling import pair_frequencies
@@ -273,7 +273,7 @@ def alpha_precision(real: DataFrame, synthetic: DataFrame, columns: list[str], a
     d = F.sqrt(sum(((F.col(c) - F.col(f"_m_{c}")) * (F.col(c) - F.col(f"_m_{c}")) for c in columns), F.lit(0.0)))
     away = lambda t: t.select(*columns).crossJoin(F.broadcast(centre)).select(d.alias("d"))  # noqa: E731  one row
     steps = [i / alphas for i in range(1, alphas + 1)]
-    cuts = away(real).agg(F.percentile("d", F.array(*map(F.lit, steps))).alias("q"))
+    cuts = quantiles(away(real), [], "d", steps).select("q")
     share = F.array(*[F.avg((F.col("d") <= F.col("q")[i]).cast("double")) for i in range(alphas)])
     x = away(synthetic).crossJoin(F.broadcast(cuts)).agg(share.alias("x"))  # one row
     return x.select(F.posexplode("x").alias("i", "share")).select(((F.col("i") + 1) / alphas).alias("alpha"), "share")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.functions import date_to_days, days_to_date, unit_hash
-from tabveil.operators.codes import category_codes
+from tabveil.operators.codes import category_codes, quantiles
 
 
 class Encoder:
@@ -55,8 +56,10 @@ class MissingEncoder(Encoder):
     medians: dict[str, float] = field(default_factory=dict)
 
     def fit(self, df):
-        row = df.agg(*[F.percentile(c, 0.5).alias(c) for c in self.continuous], *[F.bool_or(F.col(c).isNull()).alias(f"_{c}") for c in self.continuous]).first()
-        self.medians = {c: row[c] for c in self.continuous if row[f"_{c}"]}
+        row = df.agg(*[F.bool_or(F.col(c).isNull()).alias(c) for c in self.continuous]).first()
+        gaps = [c for c in self.continuous if row[c]]
+        q = column_quantiles(df, gaps, [0.5])
+        self.medians = {c: q[c][0] if c in q else None for c in gaps}
         return self
 
     def transform(self, df):
@@ -202,8 +205,7 @@ class QuantileNormal(Encoder):
 
     def fit(self, df):
         steps = [i / (self.most - 1) for i in range(self.most)]
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, steps))).alias(c) for c in self.columns]).first()
-        self.edges = {c: row[c] for c in self.columns}
+        self.edges = column_quantiles(df, self.columns, steps)
         return self
 
     def transform(self, df):
@@ -213,6 +215,15 @@ class QuantileNormal(Encoder):
         return df.withColumns({c: from_normal(self.edges[c])(F.col(c).cast("double")) for c in self.columns})
 
 
+def column_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float]]:
+    """The exact quantiles of each numeric column with known values; one row a column comes to the driver."""
+    if not columns:
+        return {}
+    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v")
+    return {r.column: r.q for r in quantiles(long, ["column"], "v", shares).select("_g.column", "q").collect()}
+
+
+@lru_cache(maxsize=1)
 def _grid() -> tuple[np.ndarray, np.ndarray]:
     """Normal quantiles at a fine grid of probabilities, denser at the ends."""
     tail = np.logspace(-7, -2, 4000)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.functions import unit_hash
-from tabveil.operators.codes import running
+from tabveil.operators.codes import quantiles, running
 from tabveil.operators.distances import within
 from tabveil.operators.neighbours import k_nearest
 
@@ -103,7 +103,9 @@ def closest_within(df: DataFrame, columns: list[str], id_column: str = "id", sha
 
 def _closeness(x: DataFrame, share: float) -> DataFrame:
     d = x.groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("d1"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("d2"))
-    return d.agg(F.percentile("d1", share).alias("dcr"), F.percentile(F.try_divide("d1", "d2"), share).alias("nndr"))
+    long = d.select(F.col("d1").alias("dcr"), F.try_divide("d1", "d2").alias("nndr")).unpivot([], ["dcr", "nndr"], "name", "v")
+    q = quantiles(long, ["name"], "v", [share])
+    return q.agg(*[F.max(F.when(F.col("_g.name") == n, F.col("q")[0])).alias(n) for n in ("dcr", "nndr")])
 
 
 def reidentification(real: DataFrame, synthetic: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:
@@ -226,7 +228,7 @@ def membership(train: DataFrame, hold: DataFrame, synthetic: DataFrame, columns:
     """One row: auc and accuracy (at the median) of the attack that scores rows by their density in the synthetic table over that in the hold-out; members are train rows."""
     x = train.select(*columns, F.lit(True).alias("member")).unionByName(hold.select(*columns, F.lit(False).alias("member")))
     x = log_density(hold, log_density(synthetic, x, columns, "_p"), columns, "_q").withColumn("score", F.round(F.col("_p") - F.col("_q"), 9))
-    cut = x.agg(F.percentile("score", 0.5).alias("cut"))
+    cut = quantiles(x, [], "score", [0.5]).select(F.col("q")[0].alias("cut"))
     accuracy = x.crossJoin(F.broadcast(cut)).agg(F.avg(((F.col("score") > F.col("cut")) == F.col("member")).cast("double")).alias("accuracy"))  # one row
     return rank_auc(x, F.col("member"), "score").crossJoin(accuracy)  # one row each
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.functions import unit_hash
-from tabveil.operators.codes import numbered
+from tabveil.operators.codes import numbered, running
 
 
 def split(df: DataFrame, key: list[str], share: float = 0.8, seed: int = 0) -> DataFrame:
@@ -101,17 +101,22 @@ def draw_by_category(df: DataFrame, key: str, column: str, draws: DataFrame, see
     """draw, value, key: for each draw a value by its log weight, then one of the value's rows.
 
     draws has draw. A value's share of [0, 1) is in the order of values; the row is the one of the hash rank that the
-    draw's second number points at, by ranks within each value.
+    draw's second number points at, by ranks within each value. Shares are whole units, summed over range partitions;
+    draws meet them by cells of units, about as many as there are values, and rows by their numbers in the whole table.
     """
-    w = category_weights(df, [column]).select("value", "n", "weight")
-    upto = F.sum("weight").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))  # one row a category
-    shares = w.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("weight"))
-    u = unit_hash(seed, F.col("draw"))
-    bounds = shares.agg(F.array_sort(F.collect_list(F.struct("lo", "value", "n"))).alias("_all"))
-    at = draws.withColumn("_u", u).crossJoin(F.broadcast(bounds)).withColumn("_x", F.element_at(F.filter("_all", lambda s: s["lo"] <= F.col("_u")), -1)).drop("_all")  # one row
-    at = at.select("draw", F.col("_x.value").alias("value"), (F.floor(unit_hash(seed + 1, F.col("draw")) * F.col("_x.n")) + 1).alias("_nth"))
-    rows = df.select(key, F.col(column).cast("string").alias("value")).withColumn("_nth", F.row_number().over(Window.partitionBy("value").orderBy(unit_hash(seed + 2, F.col(key)), key)))
-    return at.join(rows, ["value", "_nth"]).select("draw", "value", key)
+    w = category_weights(df, [column]).select("value", "n", F.round(F.col("weight") * (1 << 40)).cast("long").alias("units"), F.lit(0).alias("_g"))
+    shares = running(w, "_g", "value", ["units"])
+    size = shares.agg(F.sum("units").alias("_all"), F.ceil(F.sum("units") / (2 * F.count("*") + 4096)).alias("_width"))
+    cell = lambda x: F.floor(x / F.col("_width"))
+    rows = numbered(df.where(F.col(column).isNotNull()).select(key, F.col(column).cast("string").alias("value")), [F.col("value"), unit_hash(seed + 2, F.col(key)), F.col(key)], "_at")
+    starts = rows.groupBy("value").agg(F.min("_at").alias("_start"))
+    shares = shares.join(starts, "value").crossJoin(F.broadcast(size))  # one row
+    hi, lo = F.col("units_upto"), F.col("units_upto") - F.col("units")
+    shares = shares.where("units > 0").select("value", "n", "_start", lo.alias("_lo"), hi.alias("_hi"), F.explode(F.sequence(cell(lo), cell(hi - 1))).alias("_cell"))
+    at = draws.select("draw").crossJoin(F.broadcast(size)).withColumn("_u", F.floor(unit_hash(seed, F.col("draw")) * F.col("_all")))  # one row
+    at = at.select("draw", "_u", cell(F.col("_u")).alias("_cell")).join(shares, "_cell").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    at = at.select("draw", (F.floor(unit_hash(seed + 1, F.col("draw")) * F.col("n")) + F.col("_start")).alias("_at"))
+    return at.join(rows, "_at").select("draw", "value", key)
 
 
 def bootstrap_means(df: DataFrame, key: list[str], value: str, groups: list[str], replicates: int = 1000, seed: int = 0) -> DataFrame:

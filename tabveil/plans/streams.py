@@ -13,4 +13,4 @@ from tabveil.registry import query, table
 def stream(spark, sf_dir):
     events = streaming.read_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
     counts = streaming.windowed_counts(constrain(events, ["value > 1"]), "ts", ["event_type"], late="3650 days")
-    return streaming.hide_small(streaming.latest(counts, "stream")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return streaming.hide_small(streaming.latest(counts, "stream", ["start", "event_type"])).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -23,17 +23,23 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str | Column], widt
     return events.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).withColumn("start", F.col("w.start")).drop("w")
 
 
-def latest(df: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there and give its last complete result, kept as Parquet in the shared folder."""
+def latest(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a stream over all that is there and give the last row of each key.
+
+    The stream is in update mode, so that windows behind the watermark leave the state. Each batch writes the rows that
+    it changed as Parquet in the shared folder, under its own number: a batch that is run again replaces them.
+    """
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/result")
+        batch.write.mode("overwrite").parquet(f"{base}/result/batch={number}")
 
-    df.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/result")
+    df.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{base}/result")
+    others = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_x")).select(*keys, "_x.*")
 
 
 def hide_small(df: DataFrame, least: int = 10) -> DataFrame:

@@ -127,3 +127,17 @@ def test_checks(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert tables.check_spec(df, tables.Spec(["a"], target="b", constraints=["a < b"], delta=0.5)) == []
     assert len(tables.check_spec(df, tables.Spec(["z"], target="y", task="rank", constraints=["a <<< b"], delta=1.0))) == 5
+
+
+def test_quantiles_of_uneven_groups(spark):
+    """A value with most rows, NULL keys and values, a group of one row and one without known values."""
+    import numpy as np
+
+    rows = [("hot", 3.0)] * 900 + [("hot", float(v)) for v in range(-50, 40)] + [(None, float(v * v)) for v in range(7)] + [("one", 2.5), ("none", None), ("hot", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    shares = [0.0, 0.05, 0.3, 0.5, 1.0]
+    got = {r.k: r.q for r in codes.quantiles(df, ["k"], "v", shares, cells=16).select("_g.k", "q").collect()}
+    assert set(got) == {"hot", None, "one"}
+    for k, q in got.items():
+        assert q == pytest.approx(list(np.quantile([v for a, v in rows if a == k and v is not None], shares)))
+    assert codes.quantiles(df.limit(0), [], "v", shares).collect() == []
