@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, decontam, jaccard, knn, linededup, mixing, pii, quality, substrings, tokencounts
+from tabveil.llm import bpe, decontam, jaccard, knn, linededup, mixing, packing, pii, quality, substrings, tokencounts
 from tabveil.llm.registry import query
 
 
@@ -115,3 +115,8 @@ def op4(spark, sf_dir):
 @query("op5_token_counts")
 def op5(spark, sf_dir):
     return tokencounts.count_tokens(read(spark, sf_dir, "documents"))
+
+
+@query("op11_packing")
+def op11(spark, sf_dir):
+    return packing.pack_documents(read(spark, sf_dir, "documents"), digests=True)
