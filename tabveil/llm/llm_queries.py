@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, decontam, jaccard, knn, linededup, mixing, packing, pii, quality, substrings, tokencounts
+from tabveil.llm import bpe, decontam, jaccard, knn, linededup, merkle, mixing, packing, pii, quality, substrings, tokencounts
 from tabveil.llm.registry import query
 
 
@@ -120,3 +120,38 @@ def op5(spark, sf_dir):
 @query("op11_packing")
 def op11(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), digests=True)
+
+
+@query(
+    "op13_merkle",
+    """WITH RECURSIVE b AS (
+      SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text,
+        list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+          lambda c, d: list_reduce(list_prepend(xor(c, d), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+      FROM documents
+    ), l AS (
+      SELECT doc_id, lang, pos, n, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS now FROM b
+    ), t(lang, level, pos, h, n) AS (
+      SELECT lang, 0, pos, leaf, n FROM l
+      UNION ALL SELECT lang, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY lang, level, pos // 8, n
+    ), s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, level FROM t WHERE n = 1),
+    u(level, pos, h, n) AS (
+      SELECT 0, pos, subroot, n FROM s
+      UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM u WHERE n > 1 GROUP BY level, pos // 8, n
+    ), a AS (
+      SELECT l.doc_id, l.lang, l.leaf, coalesce(l.now, l.leaf) AS now, s.subroot, (SELECT h FROM u WHERE n = 1) AS root, l.pos AS p0, s.pos AS p1, s.level AS top FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang
+    ), near AS (
+      SELECT a.doc_id, t.level, t.pos, t.h, t.pos = a.p0 // CAST(pow(8, t.level) AS BIGINT) AS own FROM a JOIN t ON a.lang IS NOT DISTINCT FROM t.lang AND t.n > 1 AND t.pos // 8 = a.p0 // CAST(pow(8, t.level + 1) AS BIGINT)
+      UNION ALL SELECT a.doc_id, a.top + u.level, u.pos, u.h, u.pos = a.p1 // CAST(pow(8, u.level) AS BIGINT) FROM a JOIN u ON u.n > 1 AND u.pos // 8 = a.p1 // CAST(pow(8, u.level + 1) AS BIGINT)
+    ), p AS (SELECT doc_id, sha256(coalesce(string_agg(h, '' ORDER BY level, pos) FILTER (WHERE NOT own), '')) AS proof_sha256 FROM near GROUP BY 1),
+    f(doc_id, level, h) AS (
+      SELECT doc_id, 0, now FROM a
+      UNION ALL SELECT f.doc_id, f.level + 1, sha256(string_agg(CASE WHEN near.own THEN f.h ELSE near.h END, '' ORDER BY near.pos)) FROM f JOIN near ON near.doc_id = f.doc_id AND near.level = f.level GROUP BY f.doc_id, f.level
+    ), g AS (SELECT doc_id, arg_max(h, level) AS folded_root FROM f GROUP BY 1)
+    SELECT a.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM a JOIN g USING (doc_id) LEFT JOIN p USING (doc_id)""",
+)
+def op13(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return merkle.tamper_report(docs, F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
