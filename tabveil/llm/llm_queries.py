@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, decontam, jaccard, knn, linededup, merkle, mixing, packing, pii, quality, substrings, tokencounts
+from tabveil.llm import bpe, decontam, jaccard, knn, linededup, merkle, mixing, negatives, packing, pii, quality, substrings, tokencounts
 from tabveil.llm.registry import query
 
 
@@ -155,3 +155,24 @@ def op11(spark, sf_dir):
 def op13(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return merkle.tamper_report(docs, F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+@query(
+    "op12_hard_negatives",
+    """WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT a.vec_id AS anchor_id, d.vec_id AS vec_id, a.label = d.label AS same,
+        CAST(list_sum(list_transform(list_zip(a.vec, d.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v d ON a.vec_id <> d.vec_id WHERE a.vec_id % 50 = 0
+    ), p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS INTEGER) AS positive_rank FROM s WHERE same),
+    n AS (
+      SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score, positive_rank
+      FROM p JOIN s USING (anchor_id) WHERE positive_rank <= 5 AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    ) SELECT * FROM n WHERE rank <= 3""",
+)
+def op12(spark, sf_dir):
+    x = read(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(negatives.labelled_vectors(x), F.col("vec_id") % 50 == 0)
