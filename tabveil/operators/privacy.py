@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from tabveil.functions import unit_hash
 from tabveil.operators.codes import quantiles, running
 from tabveil.operators.distances import within
-from tabveil.operators.neighbours import k_nearest
+from tabveil.operators.cells import numeric_rows
+from tabveil.operators.neighbours import k_nearest, search
+from tabveil.session import materialise
 
 
 def k_anonymity(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,6 +104,49 @@ def closest_within(df: DataFrame, columns: list[str], id_column: str = "id", sha
     return _closeness(k_nearest(x, x, columns, 2, id_column=id_column, exclude_self=True), share)
 
 
+def replicate_lists(df: DataFrame, key: str, rounds: int, share: float, side: int) -> DataFrame:
+    """df with reps, the rounds whose sample a row is in: in each a row is in with probability `share`, decided by side, round and key alone.
+
+    One MD5 gives four numbers, for four rounds.
+    """
+    digest = lambda n: F.md5(F.concat_ws(":", F.lit(str(side)), F.lit(str(n)), F.col(key).cast("string")))
+    digests = F.array(*[digest(n) for n in range((rounds + 3) // 4)])
+    cut = int(share * 2**32)
+    drawn = F.transform("_digests", lambda d, n: F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.when(F.conv(F.substr(d, (8 * j + 1).cast("int"), F.lit(8)), 16, 10).cast("long") < cut, (4 * n + j).cast("int"))), lambda r: r < rounds))
+    return df.withColumn("_digests", digests).withColumn("reps", F.flatten(drawn)).drop("_digests")
+
+
+def bootstrapped_closest_record(real: DataFrame, synthetic: DataFrame, columns: list[str], id_column: str = "id", rounds: int = 100, sample: float = 0.15, share: float = 0.05) -> DataFrame:
+    """One row: dcr and nndr, means over the rounds of what closest_record gives for a sample of both tables, standardised by the samples' own means and deviations.
+
+    A row carries the list of its rounds, so all rounds share one pass for means and deviations and one neighbour
+    search: a real row is asked once for each of its rounds, from where the two standardisations put it among the
+    synthetic rows, distances weighted by the synthetic deviations. Rounds in which a side has no row give nothing.
+    """
+    width = len(columns)
+    a, b = (materialise(replicate_lists(numeric_rows(d, columns, id_column), "id", rounds, sample, side), "replicates") for side, d in enumerate((real, synthetic)))
+
+    def scale(d: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        parts = [f(F.get("x", i)).alias(f"{n}{i}") for i in range(width) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+        mean, dev = np.zeros((rounds, width)), np.zeros((rounds, width))
+        for r in d.select("x", F.explode("reps").alias("rep")).groupBy("rep").agg(*parts).collect():  # a row a round
+            mean[r.rep], dev[r.rep] = [r[f"m{i}"] for i in range(width)], [r[f"s{i}"] for i in range(width)]
+        return mean, dev
+
+    (ma, sa), (mb, sb) = scale(a), scale(b)
+    over = lambda s: np.where(s > 0, 1 / np.where(s > 0, s, 1), 0.0)  # noqa: E731  a constant column becomes 0
+    factor = over(sa) * np.where(sb > 0, sb, 1)
+    weights = np.where(sb > 0, over(sb), 1.0)  # where all are equal to the mean, the place alone is standardised
+    moves = real.sparkSession.createDataFrame([(r, *(v[r].tolist() for v in (factor, ma, mb))) for r in range(rounds)], "rep int, f array<double>, m array<double>, t array<double>")
+    asked = a.select("id", "x", F.explode("reps").alias("rep")).join(F.broadcast(moves), "rep")  # a row a round
+    moved = asked.select("id", "rep", F.transform("x", lambda v, i: (v - F.get("m", i)) * F.get("f", i) + F.get("t", i)).alias("x"))
+    x, _ = search(moved, b, width, 2, weights=weights)
+    d = x.groupBy("id", "rep").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("d1"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("d2"))
+    long = d.select("rep", F.col("d1").alias("dcr"), F.try_divide("d1", "d2").alias("nndr")).unpivot("rep", ["dcr", "nndr"], "name", "v")
+    q = quantiles(long, ["rep", "name"], "v", [share]).select("_g.name", F.col("q")[0].alias("q"))
+    return q.agg(*[F.avg(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in ("dcr", "nndr")])
+
+
 def _closeness(x: DataFrame, share: float) -> DataFrame:
     d = x.groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("d1"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("d2"))
     long = d.select(F.col("d1").alias("dcr"), F.try_divide("d1", "d2").alias("nndr")).unpivot([], ["dcr", "nndr"], "name", "v")
@@ -180,9 +226,33 @@ def multivariate_singling_out(real: DataFrame, control: DataFrame, synthetic: Da
 
 def linkability(targets: DataFrame, synthetic: DataFrame, left: list[str], right: list[str], k: int = 4, id_column: str = "id") -> DataFrame:
     """One row: targets, and links, those of which some synthetic row is among the k nearest by both halves of the columns."""
-    near = lambda c: k_nearest(targets, synthetic, c, k, id_column=id_column).select("id", "other")
-    links = near(left).intersect(near(right)).select("id").distinct().agg(F.count("*").alias("links"))
-    return targets.agg(F.count("*").alias("targets")).crossJoin(links)  # one row each
+    x = linked_ranks(targets, synthetic, left, right, k, id_column=id_column)
+    return targets.agg(F.count("*").alias("targets")).crossJoin(x.agg(F.count("*").alias("links")))  # one row each
+
+
+def linked_ranks(targets: DataFrame, synthetic: DataFrame, left: list[str], right: list[str], k: int, metric: str = "l2", id_column: str = "id") -> DataFrame:
+    """id, k: the fewest neighbours by each half of the columns among which the halves of a target share a synthetic row, where k are enough."""
+    near = lambda c, name: k_nearest(targets, synthetic, c, k, metric, id_column=id_column).select("id", "other", F.col("rank").alias(name))
+    return near(left, "_a").join(near(right, "_b"), ["id", "other"]).groupBy("id").agg(F.min(F.greatest("_a", "_b")).alias("k"))
+
+
+def linkability_risks(real: DataFrame, control: DataFrame, synthetic: DataFrame, left: list[str], right: list[str], ks: tuple[int, ...] = (4, 5, 6, 7, 8, 9, 10), attacks: int = 5000, metric: str = "l2", id_column: str = "id") -> DataFrame:
+    """k, attacks, success, controls, control_success, baseline: links within k neighbours among real targets and among those of the control, for every k from one search of each half.
+
+    Targets are the `attacks` rows of a table with the smallest hashes of their ids; baseline is the chance that two
+    random draws of k synthetic rows share one.
+    """
+    spark, most = real.sparkSession, max(ks)
+    n = synthetic.count()
+    chance = [(k, 1 - math.prod(max(n - k - i, 0) / (n - i) for i in range(k)) if n >= k else 1.0) for k in ks]
+    out = F.broadcast(spark.createDataFrame(chance, "k int, baseline double"))
+    for table, total, name in ((real, "attacks", "success"), (control, "controls", "control_success")):
+        picked = materialise(table.orderBy(unit_hash(0, F.col(id_column)), id_column).limit(attacks), "targets")
+        found = linked_ranks(picked, synthetic, left, right, most, metric, id_column).groupBy("k").agg(F.count("*").alias("_n"))
+        upto = F.coalesce(F.sum(F.when(F.col("_k") <= F.col("k"), F.col("_n"))), F.lit(0))
+        counts = out.select("k").crossJoin(found.withColumnRenamed("k", "_k")).groupBy("k").agg(upto.alias(name))  # ks by at most max(ks) rows
+        out = out.join(counts, "k", "left").crossJoin(picked.agg(F.count("*").alias(total))).na.fill(0, [name])  # one row
+    return out.select("k", "attacks", "success", "controls", "control_success", "baseline")
 
 
 def inference(targets: DataFrame, synthetic: DataFrame, keys: list[str], secret: str, tolerance: float | None = None, id_column: str = "id") -> DataFrame:

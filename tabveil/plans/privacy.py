@@ -17,8 +17,12 @@ HOLD = f"h AS (SELECT {X} FROM customer WHERE c_custkey % 10 = 0)"
 XY = ["x", "y"]
 
 
+def customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 100.0).alias("y"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+
+
 def three(spark, sf_dir):
-    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 100.0).alias("y"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    x = customers(spark, sf_dir)
     return x.where("id % 10 > 0 AND id % 2 = 0"), x.where("id % 10 > 0 AND id % 2 = 1"), x.where("id % 10 = 0")
 
 
@@ -79,6 +83,32 @@ def d07(spark, sf_dir):
     return rounded(P.closest_record(*three(spark, sf_dir)[:2], XY))
 
 
+FULL_REAL, FULL_SYNTHETIC, FULL_HOLD = (f"{t} AS (SELECT {X} FROM customer WHERE {w})" for t, w in (("a", "c_custkey % 2 = 0"), ("b", "c_custkey % 2 = 1"), ("h", "c_custkey % 10 = 0")))
+
+
+def halves(spark, sf_dir):
+    """All customers: those of even keys as real, those of odd ones as synthetic."""
+    x = customers(spark, sf_dir)
+    return x.where("id % 2 = 0"), x.where("id % 2 = 1")
+
+
+def drawn(t, side):
+    return f"SELECT r, id, x, y FROM {t}, (SELECT unnest(range(100)) AS r) WHERE CAST('0x' || substr(md5('{side}:' || (r // 4) || ':' || id), 8 * (r % 4) + 1, 8) AS BIGINT) < 644245094"
+
+
+@query(
+    "d07_d08_bootstrapped",
+    f"""WITH {FULL_REAL}, {FULL_SYNTHETIC}, ra AS ({drawn('a', 0)}), rb AS ({drawn('b', 1)}),
+    za AS (SELECT r, id, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x, (y - avg(y) OVER w) / stddev_pop(y) OVER w AS y FROM ra WINDOW w AS (PARTITION BY r)),
+    zb AS (SELECT r, id, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x, (y - avg(y) OVER w) / stddev_pop(y) OVER w AS y FROM rb WINDOW w AS (PARTITION BY r)),
+    d AS (SELECT r, id, list_sort(list(d), 'ASC')[1] AS d1, list_sort(list(d), 'ASC')[2] AS d2 FROM (SELECT p.r, p.id, {DIST} AS d FROM za p JOIN zb q USING (r)) GROUP BY 1, 2),
+    m AS (SELECT r, quantile_cont(d1, 0.05) AS dcr, quantile_cont(d1 / d2, 0.05) AS nndr FROM d GROUP BY 1)
+    SELECT round(avg(dcr), 8) AS dcr, round(avg(nndr), 8) AS nndr FROM m""",
+)
+def d07_bootstrapped(spark, sf_dir):
+    return rounded(P.bootstrapped_closest_record(*halves(spark, sf_dir), XY), 8)
+
+
 @query("d09_closest_within", f"WITH {REAL}, za AS {z('a')}, " + closeness(f"SELECT p.id, {DIST} AS d FROM za p JOIN za q ON p.id <> q.id"))
 def d09(spark, sf_dir):
     return rounded(P.closest_within(three(spark, sf_dir)[0], XY))
@@ -131,6 +161,33 @@ def d14(spark, sf_dir):
     return P.linkability(h, b, ["x"], ["y"], 50)
 
 
+def ranked(t, c):
+    return f"(SELECT id, other, k FROM (SELECT p.id, q.id AS other, row_number() OVER (PARTITION BY p.id ORDER BY abs(p.{c} - q.{c}), q.id) AS k FROM {t} p, b q) WHERE k <= 10)"
+
+
+def linked(t):
+    return f"(SELECT id, min(greatest(u.k, v.k)) AS k FROM {ranked(t, 'x')} u JOIN {ranked(t, 'v')} v USING (id, other) GROUP BY 1)"
+
+
+V = "c_custkey AS id, c_acctbal AS x, c_acctbal + c_nationkey * 20 AS v"
+
+
+@query(
+    "d14_linkability_ks",
+    f"""WITH a AS (SELECT {V} FROM customer WHERE c_custkey % 10 > 0 AND c_custkey % 2 = 0 ORDER BY substr(md5('0:' || c_custkey), 1, 8), c_custkey LIMIT 5000),
+    h AS (SELECT {V} FROM customer WHERE c_custkey % 10 = 0 ORDER BY substr(md5('0:' || c_custkey), 1, 8), c_custkey LIMIT 5000), b AS (SELECT {V} FROM customer WHERE c_custkey % 2 = 1),
+    la AS {linked('a')}, lh AS {linked('h')}, n AS (SELECT count(*) AS n FROM b)
+    SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM a) AS attacks, (SELECT count(*) FROM la WHERE la.k <= i.k) AS success, (SELECT count(*) FROM h) AS controls, (SELECT count(*) FROM lh WHERE lh.k <= i.k) AS control_success,
+      round(1 - (SELECT product((n - i.k - j) / (n - j)) FROM (SELECT unnest(range(10)) AS j) WHERE j < i.k), 9) AS baseline
+    FROM (SELECT unnest(range(4, 11)) AS k) i, n""",
+)
+def d14_ks(spark, sf_dir):
+    """The hold-out is the control; a target is known by its balance, and by a number that depends on balance and nation."""
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_acctbal") + F.col("c_nationkey") * 20).alias("v"))
+    found = P.linkability_risks(x.where("id % 10 > 0 AND id % 2 = 0"), x.where("id % 10 = 0"), x.where("id % 2 = 1"), ["x"], ["v"])
+    return found.withColumn("baseline", F.round("baseline", 9))
+
+
 @query("d15_inference", f"WITH {SYNTHETIC}, {HOLD}, n AS (SELECT id, other FROM (SELECT p.id, q.id AS other, row_number() OVER (PARTITION BY p.id ORDER BY {DIST}, q.id) AS k FROM h p, b q) WHERE k = 1) SELECT count(*) AS targets, count(*) FILTER (WHERE h.segment = b.segment) AS hits FROM n JOIN h ON n.id = h.id JOIN b ON n.other = b.id")
 def d15(spark, sf_dir):
     _, b, h = three(spark, sf_dir)

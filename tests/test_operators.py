@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabveil import functions as C
-from tabveil.operators import aggregates, codes, distances, encoders, filters, joins, neighbours, privacy, ranking, sampling, utility
+from tabveil.operators import aggregates, cells, codes, distances, encoders, filters, joins, neighbours, privacy, ranking, sampling, utility
 from tabveil.sources import tables
 
 
@@ -72,8 +72,8 @@ def test_distances_of_small_pairs(spark):
 
 
 def test_neighbours_on_a_grid(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEFT_BLOCK", 5)
-    monkeypatch.setattr(neighbours, "RIGHT_BLOCK", 4)
+    monkeypatch.setattr(cells, "LEFT_BLOCK", 5)
+    monkeypatch.setattr(cells, "RIGHT_BLOCK", 4)
     grid = spark.createDataFrame([(i * 4 + j, float(i), float(j)) for i in range(4) for j in range(4)] + [(99, None, 0.0)], "id int, x double, y double")
     got = {(r.id, r["rank"]): (r.other, r.distance) for r in neighbours.k_nearest(grid, grid, ["x", "y"], 2, "l1", exclude_self=True).collect()}
     assert got[0, 1] == (1, 1.0) and got[0, 2] == (4, 1.0) and len(got) == 32
