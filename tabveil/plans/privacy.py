@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabveil.operators import privacy as P
+from tabveil.operators import singling
 from tabveil.plans.distances import rounded
 from tabveil.plans.distances import A as LA
 from tabveil.plans.distances import B as LB
@@ -223,3 +224,46 @@ def d17b(spark, sf_dir):
 @query("d18_replicated", "SELECT round(avg(v), 6) AS mean_mean, round(stddev_pop(v), 6) AS mean_std FROM (" + " UNION ALL ".join(f"SELECT avg(o_totalprice) AS v FROM orders WHERE CAST('0x' || substr(md5('{i}:' || o_orderkey), 1, 8) AS BIGINT) / 4294967296.0 < 0.15" for i in range(5)) + ")")
 def d18(spark, sf_dir):
     return rounded(P.replicated(table(spark, sf_dir, "orders"), "o_orderkey", lambda d: d.agg(F.avg("o_totalprice").alias("mean")), 5))
+
+
+NUMBERS = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber", "part": "l_partkey", "supplier": "l_suppkey"}
+TEXTS = {"flag": "l_returnflag", "status": "l_linestatus"}
+TRIES = 1000
+
+
+def singling_sql():
+    """Predicates as bounds of each column, NULL where a column isn't asked, against all rows."""
+    names = [*NUMBERS, *TEXTS]
+    columns = ", ".join([*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in NUMBERS.items()], *[f"{e} AS {c}" for c, e in TEXTS.items()]])
+    tables = ", ".join(f"{t} AS (SELECT l_orderkey || '-' || l_partkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id, {columns} FROM lineitem WHERE {w})" for t, w in (("a", "l_orderkey % 2 = 0 AND l_orderkey % 10 > 0"), ("h", "l_orderkey % 10 = 0"), ("b", "l_orderkey % 2 = 1")))
+    bound = lambda c, op, v: f"CASE WHEN o{c} IN ('=', '{op}') THEN {v} END"
+    as_bounds = ", ".join([*[f"{bound(c, '>=', c)} AS {c}_lo, {bound(c, '<=', c)} AS {c}_hi" for c in NUMBERS], *[f"CASE WHEN o{c} = '=' THEN {c} END AS {c}_is" for c in TEXTS]])
+    inside = " AND ".join([*[f"(p.{c}_lo IS NULL OR t.{c} >= p.{c}_lo) AND (p.{c}_hi IS NULL OR t.{c} <= p.{c}_hi)" for c in NUMBERS], *[f"(p.{c}_is IS NULL OR t.{c} = p.{c}_is)" for c in TEXTS]])
+    counted = lambda t, p: f"(SELECT pid FROM {p} p JOIN {t} t ON {inside} GROUP BY 1 HAVING count(*) = 1)"
+    pick = lambda n, key: f"list_sort([{', '.join(f'md5({key} || ' + chr(39) + ':' + c + chr(39) + ')' for c in names)}])[{min(n, len(names))}]"  # noqa: E731  the last hash that is picked
+    parts = []
+    for n in (2, 4, 8):
+        ops = ", ".join(f"CASE WHEN md5('{n}:' || id || ':{c}') <= {pick(n, chr(39) + str(n) + ':' + chr(39) + ' || id')} THEN " + (f"CASE WHEN {c} > (SELECT quantile_cont({c}, 0.5) FROM b) THEN '>=' ELSE '<=' END" if c in NUMBERS else "'='") + f" END AS o{c}" for c in names)
+        parts.append(f"SELECT md5('{n}:' || id) AS pid, {n} AS n_columns, 'attack' AS kind, {as_bounds} FROM (SELECT *, {ops} FROM r)")
+    for n in (1, 2, 4, 8):
+        drawn = " JOIN ".join(f"(SELECT {c}, row_number() OVER (ORDER BY md5('draw:{n}:{c}:' || id), id) AS i FROM r) AS d{c}" + ("" if k == 0 else " USING (i)") for k, c in enumerate(names))
+        key = f"'order:{n}:' || i"
+        ops = ", ".join(f"CASE WHEN md5({key} || ':{c}') <= {pick(n, key)} THEN " + (f"CASE WHEN substr(md5('pick:{n}:' || i || ':{c}'), 1, 1) < '8' THEN '<=' ELSE '>=' END" if c in NUMBERS else "'='") + f" END AS o{c}" for c in names)
+        parts.append(f"SELECT md5('guess:{n}:' || i) AS pid, {n} AS n_columns, 'guess' AS kind, {as_bounds} FROM (SELECT *, {ops} FROM {drawn} WHERE i <= 500)")
+    lone = []
+    for c in names:
+        ends = [("=", "true"), *([("<=", f"{c} = (SELECT min({c}) FROM b)"), (">=", f"{c} = (SELECT max({c}) FROM b)")] if c in NUMBERS else [])]
+        lone += [f"SELECT md5('{c}:{op}:' || {c}) AS pid, 1 AS n_columns, 'attack' AS kind, {as_bounds} FROM (SELECT " + ", ".join(f"{x}, {repr(op) if x == c else 'NULL'} AS o{x}" if x == c else f"NULL AS {x}, NULL AS o{x}" for x in names) + f" FROM b GROUP BY {c} HAVING count(*) = 1 AND {w})" for op, w in ends]
+    one = f"SELECT * FROM ({' UNION ALL '.join(lone)}) ORDER BY pid LIMIT 500"
+    return f"""WITH {tables}, r AS (SELECT * FROM b ORDER BY md5('0:' || id), id LIMIT {TRIES}), e AS ({one}), p AS (SELECT * FROM e UNION ALL {' UNION ALL '.join(parts)}),
+    q AS (SELECT *, row_number() OVER (PARTITION BY n_columns ORDER BY pid) AS i FROM p WHERE kind = 'attack' AND pid IN {counted('b', "(SELECT * FROM p WHERE kind = 'attack')")}),
+    k AS (SELECT * EXCLUDE (i) FROM q WHERE i <= 500 UNION ALL SELECT * FROM p WHERE kind = 'guess'), ha AS {counted('a', 'k')}, hh AS {counted('h', 'k')}
+    SELECT n_columns, count(*) FILTER (WHERE kind = 'attack') AS attacks, count(*) FILTER (WHERE kind = 'attack' AND pid IN (SELECT pid FROM ha)) AS success, count(*) FILTER (WHERE kind = 'attack' AND pid IN (SELECT pid FROM hh)) AS control,
+      count(*) FILTER (WHERE kind = 'guess') AS guesses, count(*) FILTER (WHERE kind = 'guess' AND pid IN (SELECT pid FROM ha)) AS baseline FROM k GROUP BY 1"""
+
+
+@query("d13_singling_out_sets", singling_sql())
+def d13_sets(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("id"), "l_orderkey", *[F.col(e).alias(c) for c, e in (NUMBERS | TEXTS).items()])
+    real, control, synthetic = x.where("l_orderkey % 2 = 0 AND l_orderkey % 10 > 0"), x.where("l_orderkey % 10 = 0"), x.where("l_orderkey % 2 = 1")
+    return singling.singling_out_risks(real, control, synthetic, list(NUMBERS), list(TEXTS), tries=TRIES)
