@@ -61,7 +61,7 @@ class Cells:
                     parts[2 * node], parts[2 * node + 1] = x[v <= cut], x[v > cut]
                     continue
             parts[2 * node] = x
-        self.count = np.zeros(leaves, np.int64)
+        self.count, self.mean = np.zeros(leaves, np.int64), np.zeros((leaves, width))
         self.low, self.high = np.full((2 * leaves, width), math.inf), np.full((2 * leaves, width), -math.inf)
 
     def home(self, x: np.ndarray) -> np.ndarray:
@@ -72,8 +72,9 @@ class Cells:
             node = 2 * node + (x[rows, self.dim[node]] > self.cut[node])
         return node - self.leaves
 
-    def fill(self, leaf: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    def fill(self, leaf: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, mean: np.ndarray) -> None:
         """What the leaves hold; the boxes of the nodes above follow."""
+        self.mean[leaf] = mean
         self.count[leaf], self.low[self.leaves + leaf], self.high[self.leaves + leaf] = count, low, high
         for n in range(self.leaves - 1, 0, -1):
             self.low[n], self.high[n] = np.minimum(self.low[2 * n], self.low[2 * n + 1]), np.maximum(self.high[2 * n], self.high[2 * n + 1])
@@ -128,10 +129,11 @@ def fit_cells(rows: DataFrame, width: int, leaf_rows: int | None = None) -> tupl
     leaves = 1 << max(0, math.ceil(math.log2(max(1, min(n / (leaf_rows or LEAF_ROWS), LEAVES, picked.num_rows)))))
     cells = Cells(points_of(picked.column("x"), width), min(leaves, LEAVES))
     placed = materialise(in_cells(rows, lambda x: cells.home(x), width), "cells")
-    ends = [F.struct(*[f(F.get("x", i)) for i in range(width)]) for f in (F.min, F.max)]
-    boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *[e.alias(c) for e, c in zip(ends, ("low", "high"), strict=True)]).collect()  # at most LEAVES rows
+    about = {"low": F.min, "high": F.max, "mean": F.avg}
+    parts = [F.struct(*[f(F.get("x", i)) for i in range(width)]).alias(n) for n, f in about.items()]
+    boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *parts).collect()  # at most LEAVES rows
     if boxes:
-        cells.fill(np.array([b.cell for b in boxes]), np.array([b.n for b in boxes]), *[np.array([list(b[c]) for b in boxes]) for c in ("low", "high")])
+        cells.fill(np.array([b.cell for b in boxes]), np.array([b.n for b in boxes]), *[np.array([list(b[n]) for b in boxes]) for n in about])
     return cells, placed
 
 

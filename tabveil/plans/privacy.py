@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabveil.operators import densities
 from tabveil.operators import privacy as P
 from tabveil.operators import singling
 from tabveil.plans.distances import rounded
@@ -215,6 +216,35 @@ def d17(spark, sf_dir):
     return x.select(F.round("auc", 4).alias("auc"), F.round("accuracy", 3).alias("accuracy"))
 
 
+def kde(points, data):
+    """The Gaussian kernel density of a table of (x, y) at points, bandwidths by Scott's rule."""
+    c = f"(SELECT count(*) AS n, covar_samp(x, x) * pow(count(*), -1.0 / 3) AS a, covar_samp(x, y) * pow(count(*), -1.0 / 3) AS b, covar_samp(y, y) * pow(count(*), -1.0 / 3) AS d FROM {data})"
+    power = "-(c.d * pow(p.x - q.x, 2) - 2 * c.b * (p.x - q.x) * (p.y - q.y) + c.a * pow(p.y - q.y, 2)) / (2 * (c.a * c.d - c.b * c.b))"
+    return f"(SELECT p.id, sum(exp({power})) / any_value(c.n * 2 * pi() * sqrt(c.a * c.d - c.b * c.b)) AS density FROM {points} p, {data} q, {c} c GROUP BY 1)"
+
+
+def attacked(mode, reference):
+    """The rows of the attack with a reference density, and how it does."""
+    return f"""(WITH s AS (SELECT member, g.density / (r.density + 1e-10) AS score FROM u JOIN g USING (id) JOIN {reference} r USING (id)), cut AS (SELECT quantile_cont(score, 0.5) AS cut FROM s)
+      SELECT '{mode}' AS mode, round((SELECT avg(CASE WHEN (score > cut) = member THEN 1.0 ELSE 0 END) FROM s, cut), 8) AS accuracy,
+        round((SELECT avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) FROM s p JOIN s n ON p.member AND NOT n.member), 8) AS auc)"""
+
+
+@query(
+    "d17_density_membership",
+    f"""WITH a AS (SELECT {X} FROM customer WHERE c_custkey % 10 > 0 AND c_custkey % 2 = 0), b AS (SELECT {X} FROM customer WHERE c_custkey % 2 = 1), h AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM (SELECT {X} FROM customer WHERE c_custkey % 10 = 0)),
+    u AS (SELECT id, x, y, true AS member FROM a UNION ALL SELECT id, x, y, false FROM h WHERE i < floor(n * 0.7)), k AS (SELECT * FROM h WHERE i >= n - floor(n * 0.7)), o AS (SELECT * FROM h WHERE i >= floor(n * 0.7)),
+    g AS {kde('u', 'b')}, w AS (SELECT x, y FROM a UNION ALL SELECT x, y FROM h),
+    z AS (SELECT id, exp(-pow((u.x - (SELECT avg(x) FROM w)) / (SELECT stddev_pop(x) FROM w), 2) / 2 - pow((u.y - (SELECT avg(y) FROM w)) / (SELECT stddev_pop(y) FROM w), 2) / 2) / (2 * pi() * (SELECT stddev_pop(x) * stddev_pop(y) FROM w)) AS density FROM u)
+    SELECT * FROM {attacked('kde', kde('u', 'k'))} UNION ALL SELECT * FROM {attacked('kde, disjoint', kde('u', 'o'))} UNION ALL SELECT * FROM {attacked('prior', 'z')}""",
+)
+def d17_density(spark, sf_dir):
+    x = customers(spark, sf_dir)
+    sides = x.where("id % 10 > 0 AND id % 2 = 0"), x.where("id % 10 = 0"), x.where("id % 2 = 1")
+    told = [densities.density_membership(*sides, XY, mode, disjoint).select(F.lit(name).alias("mode"), "accuracy", "auc") for name, mode, disjoint in (("kde", "kde", False), ("kde, disjoint", "kde", True), ("prior", "prior", False))]
+    return rounded(told[0].unionByName(told[1]).unionByName(told[2]), 8)
+
+
 @query("d17_kernel_membership", f"WITH {SYNTHETIC}, {HOLD} SELECT p.id, count(q.id) AS density FROM h p LEFT JOIN b q ON {DIST} <= 300 GROUP BY 1")
 def d17b(spark, sf_dir):
     _, b, h = three(spark, sf_dir)
