@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabveil.operators.codes import numbered
 from tabveil.session import materialise
 
 
@@ -23,11 +25,25 @@ def constraint_report(df: DataFrame, rules: list[str], lenient: bool = False) ->
     return names.join(counts, "n", "left").select("rule", F.coalesce("dropped", F.lit(0)).alias("dropped"))
 
 
-def top_up(df: DataFrame, rules: list[str], n: int, order: list[Column], tries: int = 10) -> DataFrame:
-    """The first n valid rows among the first tries * n candidates in order, with shortfall, what is missing to n."""
-    pool = df.orderBy(*order).limit(n * tries)
-    found = constrain(pool, rules).orderBy(*order).limit(n)
-    return found.crossJoin(F.broadcast(found.agg((F.lit(n) - F.count("*")).alias("shortfall"))))  # one row
+def top_up(df: DataFrame, rules: list[str], n: int, order: list[Column], tries: int = 100, most: int = 10) -> DataFrame:
+    """The first n valid rows among the candidates that were asked for, with shortfall, what is missing to n.
+
+    Candidates come in order, range by range: the first range has n rows, each other as many as the share of valid
+    rows so far says are needed, but at most `most` * n; it ends with n valid rows, after `tries` ranges or at the end
+    of the table. The table is numbered once, over range partitions; a range is a filter on the numbers.
+    """
+    valid = reduce(lambda a, b: a & b, [F.coalesce(F.expr(r), F.lit(False)) for r in rules], F.lit(True))
+    pool = materialise(numbered(df.withColumn("_valid", valid), order, "_i"), "pool")
+    size, at, got = pool.count(), 0, 0
+    for _ in range(tries):
+        if got >= n or at >= size:
+            break
+        rate = got / at if at else 1.0
+        ask = min(most * n, math.ceil((n - got) / rate) if rate else most * n)
+        got += pool.where(F.col("_i").between(at, at + ask - 1) & F.col("_valid")).count()
+        at += ask
+    found = pool.where((F.col("_i") < at) & F.col("_valid")).orderBy("_i").limit(n).drop("_i", "_valid")
+    return found.withColumn("shortfall", F.lit(max(n - got, 0)).cast("long"))
 
 
 def match_conditions(df: DataFrame, wanted: dict[str, object], tolerance: float = 0.01) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -16,6 +17,7 @@ from tabveil.operators.codes import quantiles, running
 from tabveil.operators.distances import within
 from tabveil.operators.cells import numeric_rows
 from tabveil.operators.neighbours import k_nearest, search
+from tabveil.operators.replicates import replicate_lists
 from tabveil.session import materialise
 
 
@@ -104,18 +106,6 @@ def closest_within(df: DataFrame, columns: list[str], id_column: str = "id", sha
     return _closeness(k_nearest(x, x, columns, 2, id_column=id_column, exclude_self=True), share)
 
 
-def replicate_lists(df: DataFrame, key: str, rounds: int, share: float, side: int) -> DataFrame:
-    """df with reps, the rounds whose sample a row is in: in each a row is in with probability `share`, decided by side, round and key alone.
-
-    One MD5 gives four numbers, for four rounds.
-    """
-    digest = lambda n: F.md5(F.concat_ws(":", F.lit(str(side)), F.lit(str(n)), F.col(key).cast("string")))
-    digests = F.array(*[digest(n) for n in range((rounds + 3) // 4)])
-    cut = int(share * 2**32)
-    drawn = F.transform("_digests", lambda d, n: F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.when(F.conv(F.substr(d, (8 * j + 1).cast("int"), F.lit(8)), 16, 10).cast("long") < cut, (4 * n + j).cast("int"))), lambda r: r < rounds))
-    return df.withColumn("_digests", digests).withColumn("reps", F.flatten(drawn)).drop("_digests")
-
-
 def bootstrapped_closest_record(real: DataFrame, synthetic: DataFrame, columns: list[str], id_column: str = "id", rounds: int = 100, sample: float = 0.15, share: float = 0.05) -> DataFrame:
     """One row: dcr and nndr, means over the rounds of what closest_record gives for a sample of both tables, standardised by the samples' own means and deviations.
 
@@ -184,24 +174,26 @@ def attribution(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitiv
 
 
 def generalised_attribution(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive: str) -> DataFrame:
-    """As attribution, but with the synthetic key tuples that differ from the real one in the fewest keys.
+    """As attribution, but with the synthetic key tuples that differ from the real one in the fewest keys; NULL equals NULL in a key, and no other value.
 
-    Tuples meet on every subset of the keys, from all keys down, so nothing is crossed: a real tuple takes the largest
-    subset size on which it meets any.
+    Tuples meet on the subsets of the keys, level by level from all keys down, each level only for real tuples that no
+    larger subset has matched. A level's subsets share one join, so there are at most as many joins as keys and one.
     """
-    x = real.groupBy(*keys, sensitive).agg(F.count("*").alias("n"))
-    counts = synthetic.groupBy(*keys, sensitive).agg(F.count("*").alias("m"))
-    subsets = [[k for i, k in enumerate(keys) if mask >> i & 1] for mask in range(1 << len(keys))]
-    found = None
-    for s in subsets:
-        name = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in s]) if s else F.lit("")
-        per = counts.groupBy(name.alias("_s"), F.col(sensitive).alias("_v")).agg(F.sum("m").alias("m"))
-        total = per.groupBy("_s").agg(F.sum("m").alias("all"))
-        one = x.withColumn("_s", name).join(total, "_s").join(per.withColumnRenamed("_v", sensitive), ["_s", sensitive], "left")
-        one = one.select(*keys, sensitive, "n", F.lit(len(s)).alias("size"), "all", F.coalesce("m", F.lit(0)).alias("hit"))
-        found = one if found is None else found.unionByName(one)
-    best = found.groupBy(*keys, sensitive, "n", "size").agg(F.sum("hit").alias("hit"), F.sum("all").alias("all")).groupBy(*keys, sensitive, "n").agg(F.max_by(F.struct("hit", "all"), "size").alias("x"))
-    return best.agg((1 - F.sum(F.col("n") * F.col("x.hit") / F.col("x.all")) / F.sum("n")).alias("cap"))
+    x = materialise(real.groupBy(*keys, sensitive).agg(F.count("*").alias("n")).withColumn("_id", F.monotonically_increasing_id()), "tuples")
+    counts = materialise(synthetic.groupBy(*keys, sensitive).agg(F.count("*").alias("m")), "counts")
+    total, found = x.agg(F.sum("n")).first()[0], None
+    for size in range(len(keys), -1, -1):
+        masks = [sum(1 << i for i in s) for s in combinations(range(len(keys)), size)]
+        part = lambda i: F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) > 0, F.struct(F.col(keys[i]).alias("v"))).alias(f"k{i}")
+        cut = lambda d: d.withColumn("_mask", F.explode(F.array(*map(F.lit, masks)))).withColumn("_k", F.struct("_mask", *map(part, range(len(keys)))))  # noqa: E731, B023
+        there = cut(counts).groupBy("_k", F.col(sensitive).alias("_v")).agg(F.sum("m").alias("m"))
+        met = cut(x).select("_id", "n", sensitive, "_k").join(there, "_k").groupBy("_id", "n").agg(F.sum("m").alias("all"), F.coalesce(F.sum(F.when(F.col(sensitive) == F.col("_v"), F.col("m"))), F.lit(0)).alias("hit"))
+        met = materialise(met, "matched")
+        found = met if found is None else found.unionByName(met)
+        x = materialise(x.join(met.select("_id"), "_id", "left_anti"), "unmatched")
+        if x.isEmpty():
+            break
+    return found.agg((1 - F.sum(F.col("n") * F.col("hit") / F.col("all")) / F.lit(total)).alias("cap"))
 
 
 def singling_out(real: DataFrame, control: DataFrame, synthetic: DataFrame, columns: list[str], attacks: int = 500) -> DataFrame:
@@ -310,7 +302,7 @@ def kernel_membership(points: DataFrame, synthetic: DataFrame, columns: list[str
 
 
 def replicated(df: DataFrame, key: str, metric: Callable[[DataFrame], DataFrame], replicates: int = 10, share: float = 0.15) -> DataFrame:
-    """mean and deviation of a metric's columns over hash samples of the rows; each sample is a job of its own over the whole table."""
+    """mean and deviation of a metric's columns over hash samples of the rows; each sample is a job of its own over the whole table: where the metric is made of aggregates, over_replicates takes one scan."""
     out = None
     for i in range(replicates):
         one = metric(df.where(unit_hash(i, F.col(key)) < share)).withColumn("_r", F.lit(i))

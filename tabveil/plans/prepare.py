@@ -161,6 +161,19 @@ def f03(spark, sf_dir):
     return filters.top_up(table(spark, sf_dir, "orders"), ["o_totalprice > 150000"], 100, [F.col("o_orderkey")]).select("o_orderkey", "o_totalprice", "shortfall")
 
 
+@query(
+    "f03_top_up_to_the_end",
+    """WITH v AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderkey > (SELECT 0.999 * max(o_orderkey) FROM orders) ORDER BY o_orderkey LIMIT 100)
+    SELECT *, 100 - (SELECT count(*) FROM v) AS shortfall FROM v""",
+)
+def f03_end(spark, sf_dir):
+    """Valid orders lie at the end of the table, and are fewer than asked for or just enough."""
+    orders = table(spark, sf_dir, "orders")
+    last = orders.agg((0.999 * F.max("o_orderkey")).alias("last"))
+    pool = orders.crossJoin(F.broadcast(last))  # one row
+    return filters.top_up(pool, ["o_totalprice > 150000", "o_orderkey > last"], 100, [F.col("o_orderkey")], most=100).select("o_orderkey", "o_totalprice", "shortfall")
+
+
 @query("f04_match", "SELECT l_orderkey, l_linenumber, l_returnflag, 20.0::DOUBLE AS l_quantity FROM lineitem WHERE abs(l_quantity - 20) <= 20 * 0.1 AND l_returnflag = 'A'")
 def f04(spark, sf_dir):
     return filters.match_conditions(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), {"l_quantity": 20.0, "l_returnflag": "A"}, 0.1)

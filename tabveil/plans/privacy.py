@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabveil.operators import densities
 from tabveil.operators import privacy as P
-from tabveil.operators import singling
+from tabveil.operators import replicates, singling
 from tabveil.plans.distances import rounded
 from tabveil.plans.distances import A as LA
 from tabveil.plans.distances import B as LB
@@ -253,7 +253,17 @@ def d17b(spark, sf_dir):
 
 @query("d18_replicated", "SELECT round(avg(v), 6) AS mean_mean, round(stddev_pop(v), 6) AS mean_std FROM (" + " UNION ALL ".join(f"SELECT avg(o_totalprice) AS v FROM orders WHERE CAST('0x' || substr(md5('{i}:' || o_orderkey), 1, 8) AS BIGINT) / 4294967296.0 < 0.15" for i in range(5)) + ")")
 def d18(spark, sf_dir):
-    return rounded(P.replicated(table(spark, sf_dir, "orders"), "o_orderkey", lambda d: d.agg(F.avg("o_totalprice").alias("mean")), 5))
+    return rounded(replicates.over_replicates(replicates.unit_lists(table(spark, sf_dir, "orders"), "o_orderkey", 5, 0.15), {"mean": F.avg("o_totalprice")}))
+
+
+@query(
+    "d18_replicates_in_one_scan",
+    "WITH s AS (SELECT r, o_totalprice AS x FROM orders, (SELECT unnest(range(100)) AS r) WHERE CAST('0x' || substr(md5('0:' || (r // 4) || ':' || o_orderkey), 8 * (r % 4) + 1, 8) AS BIGINT) < 644245094), m AS (SELECT r, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS dev, skewness(x) AS skew FROM s GROUP BY 1)"
+    " SELECT round(avg(n), 6) AS n_mean, round(stddev_pop(n), 6) AS n_std, round(avg(mean), 4) AS mean_mean, round(stddev_pop(mean), 4) AS mean_std, round(avg(dev), 4) AS dev_mean, round(stddev_pop(dev), 4) AS dev_std FROM m",
+)
+def d18_once(spark, sf_dir):
+    x = replicates.over_replicates(replicates.replicate_lists(table(spark, sf_dir, "orders"), "o_orderkey", 100, 0.15), {"n": F.count("*"), "mean": F.avg("o_totalprice"), "dev": F.stddev_pop("o_totalprice")})
+    return x.select(*[F.round(c, 6 if c[0] == "n" else 4).alias(c) for c in x.columns])
 
 
 NUMBERS = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber", "part": "l_partkey", "supplier": "l_suppkey"}

@@ -6,8 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tabveil.operators import distances, filters
-from tabveil.functions import unit_hash
+from tabveil.operators import replicates
 from tabveil.plans.distances import rounded
 from tabveil.registry import query, table
 from tabveil.session import shared_dir
@@ -67,17 +66,40 @@ def s09(spark, sf_dir):
     return tables.collect_scores(spark, f"{path}/*/*.csv", "l_returnflag=([^/]+)/", ["model"]).withColumn("value", F.round("value", 6)).select("model", "metric", "value")
 
 
-@query("n13_best_sample")
+DISCRETE, CONTINUOUS = ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"]
+
+
+def scores_sql(real, synthetic, rounds, drawn):
+    """sample, value, covered of hash samples (r) of the synthetic orders."""
+    classes = lambda t, extra: " UNION ALL ".join(f"SELECT {extra} '{c}' AS c, {c} AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY ALL" for c in DISCRETE)
+    return f"""a AS ({real}), s AS (SELECT r, x.* FROM ({synthetic}) x, (SELECT unnest(range({rounds})) AS r) WHERE {drawn}),
+    p AS (SELECT c, v, n / sum(n) OVER (PARTITION BY c) AS p FROM ({classes('a', '')})), q AS (SELECT r, c, v, n / sum(n) OVER (PARTITION BY r, c) AS q FROM ({classes('s', 'r,')})),
+    d AS (SELECT r, c, avg(abs(p - coalesce(q, 0)) / sqrt(2)) AS d FROM p JOIN (SELECT unnest(range({rounds})) AS r) ON true LEFT JOIN q USING (r, c, v) GROUP BY ALL),
+    k AS (SELECT r, bool_and(n = (SELECT count(*) FROM p WHERE p.c = z.c)) AS covered FROM (SELECT r, c, count(*) AS n FROM q GROUP BY ALL) z GROUP BY 1),
+    f AS (SELECT r, 2 * abs((SELECT corr(o_totalprice, o_custkey) FROM a) - corr(o_totalprice, o_custkey)) / 4 AS f FROM s GROUP BY 1),
+    o AS (SELECT CAST(r AS INTEGER) AS sample, f + 10 * (SELECT avg(d) FROM d WHERE d.r = f.r) AS value, covered FROM f JOIN k USING (r))"""
+
+
+@query(
+    "n13_best_sample",
+    "WITH " + scores_sql("SELECT * FROM orders WHERE o_orderkey % 10 >= 2 AND o_orderkey % 2 = 0", "SELECT * FROM orders WHERE o_orderkey % 10 >= 2 AND o_orderkey % 2 = 1", 4, "CAST('0x' || substr(md5(r || ':' || o_orderkey), 1, 8) AS BIGINT) / 4294967296.0 < 0.3") + " SELECT arg_min(sample, value) AS sample, round(min(value), 6) AS value FROM o WHERE covered",
+)
 def n13(spark, sf_dir):
-    """The hash sample of synthetic orders that is nearest to the real ones, of those that cover all states."""
+    """The hash sample of synthetic orders that is nearest to the real ones, of those that cover all classes."""
     from tabveil.plans.prepare import real, synthetic
 
-    a, b = real(spark, sf_dir), synthetic(spark, sf_dir)
-    out = None
-    for i in range(4):
-        s = b.where(unit_hash(i, F.col("o_orderkey")) < 0.3)
-        covered = filters.class_coverage(a, s, ["o_orderstatus"]).agg(F.bool_and("covered").alias("covered"))
-        score = distances.sample_score(a, s, ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"])
-        one = score.crossJoin(covered).select(F.lit(i).alias("sample"), "value", "covered")  # one row each
-        out = one if out is None else out.unionByName(one)
-    return rounded(out.where("covered").groupBy().agg(F.min_by("sample", "value").alias("sample"), F.min("value").alias("value")))
+    samples = replicates.unit_lists(synthetic(spark, sf_dir), "o_orderkey", 4, 0.3)
+    return rounded(replicates.best_sample(replicates.sample_scores(real(spark, sf_dir), samples, 4, DISCRETE, CONTINUOUS)))
+
+
+@query(
+    "n13_sample_scores",
+    "WITH " + scores_sql("SELECT * FROM orders WHERE o_orderkey % 2 = 0", "SELECT * FROM orders WHERE o_orderkey % 2 = 1", 200, "CAST('0x' || substr(md5('0:' || (r // 4) || ':' || o_orderkey), 8 * (r % 4) + 1, 8) AS BIGINT) < 1288490188") + " SELECT sample, round(value, 9) AS value, covered, sample = (SELECT arg_min(sample, value) FROM o WHERE covered) AS best FROM o",
+)
+def n13_scores(spark, sf_dir):
+    """200 samples of all synthetic orders from one scan, and which of those that cover all classes is the best."""
+    x = table(spark, sf_dir, "orders")
+    samples = replicates.replicate_lists(x.where("o_orderkey % 2 = 1"), "o_orderkey", 200, 0.3)
+    scores = replicates.sample_scores(x.where("o_orderkey % 2 = 0"), samples, 200, DISCRETE, CONTINUOUS)
+    best = replicates.best_sample(scores).select(F.col("sample").alias("_best"))
+    return scores.crossJoin(F.broadcast(best)).select("sample", F.round("value", 9).alias("value"), "covered", F.coalesce(F.col("sample") == F.col("_best"), F.lit(False)).alias("best"))  # one row

@@ -141,3 +141,40 @@ def test_quantiles_of_uneven_groups(spark):
     for k, q in got.items():
         assert q == pytest.approx(list(np.quantile([v for a, v in rows if a == k and v is not None], shares)))
     assert codes.quantiles(df.limit(0), [], "v", shares).collect() == []
+
+
+def test_top_up_goes_on_to_valid_rows_at_the_end(spark):
+    df = spark.range(2000).select("id", (F.col("id") >= 1950).alias("ok"))
+    take = lambda n, **o: [(r.id, r.shortfall) for r in filters.top_up(df, ["ok"], n, [F.col("id")], **o).orderBy("id").collect()]
+    assert take(20) == [(i, 0) for i in range(1950, 1970)]
+    assert take(60) == [(i, 10) for i in range(1950, 2000)]
+    assert take(5, tries=3) == [] and filters.top_up(df.limit(0), ["ok"], 5, [F.col("id")]).collect() == []
+
+
+def test_attribution_of_the_nearest_key(spark):
+    real = spark.createDataFrame([("x|y", "z", "s")], "a string, b string, secret string")
+    fake = spark.createDataFrame([("x", "y|z", "s"), ("x|y", "q", "t"), ("x|y", "r", "s"), ("w", "z", "s"), ("w", "z", "s")], real.schema)
+    assert privacy.generalised_attribution(real, fake, ["a", "b"], "secret").first().cap == pytest.approx(1 - 3 / 4)
+    rows = [(None, "z", "s"), ("", "z", "t"), ("n", None, "s"), ("n", None, "s"), ("m", "m", None)]
+    real, fake = (spark.createDataFrame(r, "a string, b string, secret string") for r in (rows, [(None, "z", "s"), ("", "q", "t"), ("n", None, "u"), ("n", None, "s"), ("k", "k", "s")]))
+    # a NULL meets only NULL; "" only ""; the last row meets nothing and so all five
+    near = [1.0, 1 / 2, 1 / 2, 1 / 2, 0.0]
+    assert privacy.generalised_attribution(real, fake, ["a", "b"], "secret").first().cap == pytest.approx(1 - sum(near) / 5)
+    assert privacy.generalised_attribution(real, fake.limit(0), ["a", "b"], "secret").first().cap is None
+
+
+def test_samples_in_one_scan_equal_samples_one_by_one(spark):
+    from tabveil.operators import replicates
+
+    r = __import__("random").Random(5)
+    make = lambda n: spark.createDataFrame([(i, r.choice("aab"), r.choice(["u", "v", None]), r.random(), None if i % 9 == 0 else r.random()) for i in range(n)], "id long, c string, d string, x double, y double")
+    real, fake = make(120), make(300)
+    samples = replicates.replicate_lists(fake, "id", 6, 0.1).cache()
+    got = {x.sample: x for x in replicates.sample_scores(real, samples, 6, ["c", "d"], ["x", "y"]).collect()}
+    for i in range(6):
+        one = samples.where(F.array_contains("reps", i))
+        assert got[i].value == pytest.approx(distances.sample_score(real, one, ["c", "d"], ["x", "y"]).first().value)
+        assert got[i].covered == all(x.covered for x in filters.class_coverage(real, one, ["c", "d"]).collect())
+    assert samples.select(F.explode("reps")).count() == pytest.approx(6 * 30, rel=0.5)
+    plan = replicates.sample_scores(real, replicates.replicate_lists(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").selectExpr("o_orderkey AS id", "o_orderstatus AS c", "o_orderpriority AS d", "o_totalprice AS x", "o_custkey AS y"), "id", 500, 0.1), 500, ["c", "d"], ["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("500") < 20 and plan.count("Union") == 0
