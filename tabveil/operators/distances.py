@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabveil.operators.codes import quantiles, running
 from tabveil.operators.joins import paired_shares
 from tabveil.operators.neighbours import k_nearest
+from tabveil.session import materialise
 from tabveil.operators.sampling import pair_frequencies
 
 
@@ -279,6 +280,65 @@ def alpha_precision(real: DataFrame, synthetic: DataFrame, columns: list[str], a
     return x.select(F.posexplode("x").alias("i", "share")).select(((F.col("i") + 1) / alphas).alias("alpha"), "share")
 
 
+def support_curves(real: DataFrame, synthetic: DataFrame, columns: list[str], steps: int = 30, id_column: str = "id") -> DataFrame:
+    """alpha, precision, recall: for `steps` shares alpha from 0 to 1, how much of either table lies in the other's alpha support.
+
+    Precision is the share of synthetic rows within the ball around the real centre that holds a share alpha of the
+    real rows. Recall is the share of real rows that have a synthetic row no farther away than any other real row, this
+    nearest synthetic row (of equal ones that of the smallest id) lying in the ball around the synthetic centre that
+    holds a share alpha of these nearest rows.
+    """
+    alphas = [i / (steps - 1) for i in range(steps)]
+
+    def away(d: DataFrame, t: DataFrame) -> Column:
+        """The distance from t's centre."""
+        m = t.agg(*[F.avg(c).alias(c) for c in columns]).first()
+        return F.sqrt(sum(((F.col(c) - F.lit(m[c])) * (F.col(c) - F.lit(m[c])) for c in columns), F.lit(0.0)))
+
+    whole = lambda d: d.select(F.col(id_column).alias("id"), *columns).na.drop("any")
+    a, b = whole(real), whole(synthetic)
+    own = k_nearest(a, a, columns, 1, exclude_self=True).select("id", F.col("distance").alias("own"))
+    near = k_nearest(a, b, columns, 1).select("id", "other", "distance").join(own, "id", "left")
+    near = near.join(b.select(F.col("id").alias("other"), away(b, b).alias("d")), "other").select("d", (F.col("distance") <= F.coalesce("own", F.lit(float("inf")))).alias("covered"))
+    near = materialise(near, "covered")
+    balls = quantiles(a.select(F.lit("p").alias("kind"), away(a, a).alias("d")).unionByName(near.select(F.lit("r").alias("kind"), "d")), ["kind"], "d", alphas)
+    cuts = balls.agg(*[F.max(F.when(F.col("_g.kind") == k, F.col("q"))).alias(k) for k in "pr"])
+    inside = lambda d, k, hit: d.crossJoin(F.broadcast(cuts)).agg(F.array(*[F.avg(((F.col("d") <= F.col(k)[i]) & hit).cast("double")) for i in range(steps)]).alias(k))  # noqa: E731  one row
+    x = inside(b.select(away(b, a).alias("d")), "p", F.lit(True)).crossJoin(inside(near, "r", F.col("covered")))  # one row each
+    return x.select(F.posexplode(F.arrays_zip(F.array(*map(F.lit, alphas)).alias("alpha"), "p", "r")).alias("i", "x")).select("x.alpha", F.col("x.p").alias("precision"), F.col("x.r").alias("recall"))
+
+
+def support_scores(curves: DataFrame) -> DataFrame:
+    """One row: precision and recall, 1 less the area between the curve of support_curves and the diagonal, relative to the diagonal's."""
+    return curves.agg(*[(1 - F.sum(F.abs(F.col("alpha") - F.col(c))) / F.sum("alpha")).alias(c) for c in ("precision", "recall")])
+
+
+def imputation_auc(imputed: DataFrame, truth: DataFrame, row: str, value: str) -> DataFrame:
+    """One row: micro_f1 and auc of the votes of many imputed tables for each row's class.
+
+    A row's score for a class is its share of the row's votes; of equal ones the smallest class is the guess. AUC is
+    over all pairs of a row and a class that the truth has; pairs without votes are counted, not made. Votes for other
+    classes, or NULL, count in the row's total alone; a row without votes has scores of 0 and its guess is the smallest class.
+    """
+    from tabveil.operators.privacy import counts_auc
+
+    t = truth.where(F.col(value).isNotNull()).select(F.col(row).alias("_row"), F.col(value).alias("_true"))
+    classes = t.select(F.col("_true").alias("_class")).distinct()
+    votes = imputed.groupBy(F.col(row).alias("_row"), F.col(value).alias("_class")).agg(F.count("*").alias("n"))
+    total = votes.groupBy("_row").agg(F.sum("n").alias("all"))
+    shares = votes.join(classes, "_class", "left_semi").join(total, "_row").join(t, "_row").select("_row", "_class", "_true", (F.col("n") / F.col("all")).alias("_s"))
+    shares = materialise(shares, "votes")
+    guess = shares.groupBy("_row").agg(F.min_by("_class", F.struct(-F.col("_s"), "_class")).alias("guess"))
+    first = classes.agg(F.min("_class").alias("_first"))
+    f1 = t.join(guess, "_row", "left").crossJoin(F.broadcast(first)).agg(F.avg((F.coalesce("guess", "_first") == F.col("_true")).cast("double")).alias("micro_f1"))  # one row
+    hit = F.col("_class") == F.col("_true")
+    counts = shares.groupBy("_s").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
+    size = t.agg(F.count("*").alias("rows")).crossJoin(classes.agg(F.count("*").alias("classes")))  # one row each
+    rest = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("neg")).crossJoin(size)
+    rest = rest.select(F.lit(0.0).alias("_s"), (F.col("rows") - F.col("pos")).alias("pos"), (F.col("rows") * (F.col("classes") - 1) - F.col("neg")).alias("neg"))
+    return f1.crossJoin(counts_auc(counts.unionByName(rest)))  # one row each
+
+
 def imputation_score(imputed: DataFrame, truth: DataFrame, row: str, value: str) -> DataFrame:
     """One value: the share of rows whose most frequent imputed class (ties to the smallest) is the true one; for single labels this is micro-F1."""
     votes = imputed.groupBy(row, value).agg(F.count("*").alias("n")).groupBy(row).agg(F.min_by(value, F.struct(-F.col("n"), value)).alias("guess"))

@@ -14,8 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.functions import date_to_days, days_to_date, unit_hash
-from tabveil.operators.codes import category_codes, quantiles
+from tabveil.functions import date_to_days, days_to_date, normal_cdf, normal_quantile, unit_hash
+from tabveil.operators.codes import category_codes, quantiles, running
 
 
 class Encoder:
@@ -233,17 +233,16 @@ def _grid() -> tuple[np.ndarray, np.ndarray]:
 
 
 def to_normal(edges: list[float]):
+    """A column function: the normal quantile of where a value lies among the edges."""
     x, share = np.array(edges), np.linspace(0, 1, len(edges))
 
     @F.pandas_udf("double")
-    def run(v: pd.Series) -> pd.Series:
-        p, z = _grid()
+    def place(v: pd.Series) -> pd.Series:
         a = v.to_numpy(dtype=float, na_value=np.nan)
         lo, hi = np.interp(a, x, share), 1 - np.interp(-a, -x[::-1], share)  # the middle of a flat stretch
-        out = np.interp(np.clip((lo + hi) / 2, 1e-7, 1 - 1e-7), p, z)
-        return pd.Series(np.where(np.isnan(a), np.nan, out)).where(~np.isnan(a), None)
+        return pd.Series(np.clip((lo + hi) / 2, 1e-7, 1 - 1e-7)).where(~np.isnan(a), None)
 
-    return run
+    return lambda v: normal_quantile(place(v))
 
 
 def from_normal(edges: list[float]):
@@ -253,11 +252,56 @@ def from_normal(edges: list[float]):
     def run(v: pd.Series) -> pd.Series:
         p, z = _grid()
         a = v.to_numpy(dtype=float, na_value=np.nan)
-        return pd.Series(np.interp(np.interp(a, z, p), share, x)).where(~np.isnan(a), None)
+        at = np.where(a <= z[0], 0.0, np.where(a >= z[-1], 1.0, np.interp(a, z, p)))  # what was clipped goes back to the ends
+        return pd.Series(np.interp(at, share, x)).where(~np.isnan(a), None)
 
     return run
 
 
+def normal_distances(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, mean, deviation, distance: of each numeric column with known values, its moments and the Kolmogorov-Smirnov distance from the normal distribution that has them.
+
+    Equal values are counted and the counts summed up over range partitions. A column without spread has distance 1.
+    """
+    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    fit = long.groupBy("column").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"), F.count("*").alias("all"))
+    x = running(long.groupBy("column", "v").agg(F.count("*").alias("n")), "column", "v", ["n"]).join(F.broadcast(fit), "column")  # a row a column
+    below = normal_cdf(F.try_divide(F.col("v") - F.col("mean"), F.col("deviation")))
+    gap = F.greatest(F.abs(F.col("n_upto") / F.col("all") - below), F.abs((F.col("n_upto") - F.col("n")) / F.col("all") - below))
+    return x.groupBy("column", "mean", "deviation").agg(F.coalesce(F.max(gap), F.lit(1.0)).alias("distance"))
+
+
+@dataclass
+class MarginalNormal(Encoder):
+    """Normal scores through a fitted marginal: z-scores where a column is nearer than `limit` to a normal distribution, else QuantileNormal.
+
+    `fixed` names the marginal, "normal" or "empirical", of columns that aren't to choose. Both go back exactly, the
+    ends of the train values included; scores beyond them give the ends where the marginal is empirical.
+    """
+
+    columns: list[str]
+    limit: float = 0.05
+    fixed: dict[str, str] = field(default_factory=dict)
+    moments: dict[str, tuple[float, float]] = field(default_factory=dict)
+    distances: dict[str, float] = field(default_factory=dict)
+    empirical: QuantileNormal | None = None
+
+    def fit(self, df):
+        self.moments, self.distances = {}, {}
+        for r in normal_distances(df, self.columns).collect():  # a row a column
+            self.distances[r.column] = r.distance
+            if self.fixed.get(r.column, "normal" if r.distance < self.limit else "empirical") == "normal":
+                self.moments[r.column] = (r.mean, r.deviation or 1.0)
+        self.empirical = QuantileNormal([c for c in self.columns if c in self.distances and c not in self.moments]).fit(df)
+        return self
+
+    def transform(self, df):
+        return self.empirical.transform(df.withColumns({c: (F.col(c).cast("double") - m) / s for c, (m, s) in self.moments.items()}))
+
+    def inverse(self, df):
+        return self.empirical.inverse(df.withColumns({c: F.col(c).cast("double") * s + m for c, (m, s) in self.moments.items()}))
+
+
 @dataclass
 class Scaler(Encoder):
     """standard: (x - mean) / population deviation; unit: to 0..1; symmetric: to -1..1, the inverse clipped; utility: log(max(x, 0.01)) where the least is not negative and the largest at least 1000, else 5 times unit."""

@@ -270,8 +270,12 @@ def attack_risk(rates: DataFrame, attack: str = "success", control: str = "contr
 
 def rank_auc(df: DataFrame, label: Column, score: str) -> DataFrame:
     """One row: auc, the share of (positive, negative) pairs in which the positive has the larger score, ties half; from counts by score."""
-    x = df.groupBy(F.lit(0).alias("_g"), F.col(score).cast("double").alias("_s")).agg(F.sum(label.cast("long")).alias("pos"), F.sum((~label).cast("long")).alias("neg"))
-    x = running(x, "_g", "_s", ["neg"])
+    return counts_auc(df.groupBy(F.col(score).cast("double").alias("_s")).agg(F.sum(label.cast("long")).alias("pos"), F.sum((~label).cast("long")).alias("neg")))
+
+
+def counts_auc(counts: DataFrame) -> DataFrame:
+    """The same from counts by score (_s, pos, neg)."""
+    x = running(counts.select(F.lit(0).alias("_g"), "_s", "pos", "neg"), "_g", "_s", ["neg"])
     won = F.col("pos") * (F.col("neg_upto") - F.col("neg") + F.col("neg") / 2)
     return x.agg(F.try_divide(F.sum(won), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 

@@ -202,3 +202,46 @@ def e24(spark, sf_dir):
 @query("e25_sample_score", J + f", d AS (SELECT col, avg(abs(p - q)) / sqrt(2) AS v FROM j WHERE n > 0 GROUP BY 1) SELECT round(2 * ({OFF}) / 9 + 10 * avg(v), 6) AS value FROM d")
 def e25(spark, sf_dir):
     return rounded(D.sample_score(*pair(spark, sf_dir), DISCRETE, CONTINUOUS))
+
+
+CUSTOMERS = "a AS (SELECT c_custkey AS id, c_acctbal AS x, c_nationkey * 100.0 AS y FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS id, c_acctbal AS x, c_nationkey * 100.0 AS y FROM customer WHERE c_custkey % 2 = 1)"
+
+
+def curves_sql(steps):
+    centre = lambda t, c: f"sqrt(pow(c.x - (SELECT avg(x) FROM {t}), 2) + pow(c.y - (SELECT avg(y) FROM {t}), 2)) AS d"
+    shares = "[" + ", ".join(repr(i / (steps - 1)) for i in range(steps)) + "]::DOUBLE[]"
+    return f"""{CUSTOMERS}, o AS (SELECT p.id, min(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))) AS own FROM a p JOIN a q ON p.id <> q.id GROUP BY 1),
+    n AS (SELECT p.id, min(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))) AS distance, arg_min(q.id, (sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)), q.id)) AS other FROM a p, b q GROUP BY 1), r AS (SELECT {centre('b', 'c')}, distance <= own AS covered FROM n JOIN o USING (id) JOIN b c ON c.id = other),
+    x AS (SELECT {centre('a', 'c')} FROM a c), y AS (SELECT {centre('a', 'c')} FROM b c),
+    k AS (SELECT unnest({shares}) AS alpha, unnest((SELECT quantile_cont(d, {shares}) FROM x)) AS p, unnest((SELECT quantile_cont(d, {shares}) FROM r)) AS q),
+    v AS (SELECT alpha, (SELECT avg(CASE WHEN d <= p * (1 + 1e-12) THEN 1.0 ELSE 0 END) FROM y) AS precision, (SELECT avg(CASE WHEN covered AND d <= q * (1 + 1e-12) THEN 1.0 ELSE 0 END) FROM r) AS recall FROM k)"""
+
+
+def both(spark, sf_dir):
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 100.0).alias("y"))
+    return x.where("id % 2 = 0"), x.where("id % 2 = 1")
+
+
+@query("e22_support_curves", f"WITH {curves_sql(30)} SELECT round(alpha, 9) AS alpha, round(precision, 3) AS precision, round(recall, 3) AS recall FROM v")
+def e22_curves(spark, sf_dir):
+    x = D.support_curves(*both(spark, sf_dir), ["x", "y"])
+    return x.select(F.round("alpha", 9).alias("alpha"), F.round("precision", 3).alias("precision"), F.round("recall", 3).alias("recall"))
+
+
+@query("e22_support_scores", f"WITH {curves_sql(30)} SELECT round(1 - sum(abs(alpha - precision)) / sum(alpha), 3) AS precision, round(1 - sum(abs(alpha - recall)) / sum(alpha), 3) AS recall FROM v")
+def e22_scores(spark, sf_dir):
+    return rounded(D.support_scores(D.support_curves(*both(spark, sf_dir), ["x", "y"])), 3)
+
+
+@query(
+    "e24_imputation_auc",
+    """WITH t AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'R' ELSE 'N' END AS c FROM orders), v AS (SELECT l_orderkey AS k, l_returnflag AS c, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    s AS (SELECT t.k, x.c, t.c = x.c AS hit, coalesce(v.n / (SELECT sum(n) FROM v z WHERE z.k = t.k), 0) AS s FROM t CROSS JOIN (SELECT DISTINCT c FROM t) x LEFT JOIN v ON v.k = t.k AND v.c = x.c),
+    c AS (SELECT s, count(*) FILTER (WHERE hit) AS pos, count(*) FILTER (WHERE NOT hit) AS neg FROM s GROUP BY 1), u AS (SELECT *, sum(neg) OVER (ORDER BY s) AS upto FROM c),
+    g AS (SELECT k, arg_min(c, (-s, c)) AS c FROM s GROUP BY 1)
+    SELECT round((SELECT avg(CASE WHEN g.c = t.c THEN 1.0 ELSE 0 END) FROM t JOIN g USING (k)), 9) AS micro_f1, round(sum(pos * (upto - neg / 2)) / (sum(pos) * sum(neg)), 9) AS auc FROM u""",
+)
+def e24_auc(spark, sf_dir):
+    imputed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_returnflag").alias("v"))
+    truth = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.when(F.col("o_orderstatus") == "F", "R").otherwise("N").alias("v"))
+    return rounded(D.imputation_auc(imputed, truth, "row", "v"), 9)

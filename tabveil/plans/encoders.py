@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tabveil.operators import encoders as E
+from tabveil.functions import FAR_TAIL, MIDDLE, TAIL
 from tabveil.plans.distances import rounded
 from tabveil.registry import query, table
 
@@ -135,3 +138,74 @@ def c19(spark, sf_dir):
     x = holes(spark, sf_dir)
     p = E.Pipeline([("missing", E.MissingEncoder(["state"], ["price"])), ("scale", E.Scaler(["price"], "unit")), ("labels", E.LabelEncoder(["state"]))]).fit(x)
     return rounded(p.inverse(p.transform(x)).select(x.columns), 2)
+
+
+def cdf_sql(z):
+    """The normal distribution function to 7.5e-8."""
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    upper = f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {upper} ELSE {upper} END"
+
+
+MARGINALS = "o_orderkey, o_totalprice AS price, o_totalprice / 5000 + o_custkey % 101 + o_orderkey % 97 AS mixed"
+X = f"x AS (SELECT {MARGINALS} FROM orders)"
+
+
+@query(
+    "c17_marginal_distances",
+    f"WITH {X}, l AS (SELECT 'price' AS c, price AS v FROM x UNION ALL SELECT 'mixed', mixed FROM x), m AS (SELECT c, avg(v) AS mean, stddev_pop(v) AS deviation, count(*) AS n FROM l GROUP BY 1),"
+    " d AS (SELECT c, v, count(*) AS n FROM l GROUP BY 1, 2), u AS (SELECT d.c, (v - mean) / deviation AS z, sum(d.n) OVER (PARTITION BY d.c ORDER BY v) / m.n AS hi, (sum(d.n) OVER (PARTITION BY d.c ORDER BY v) - d.n) / m.n AS lo FROM d JOIN m USING (c))"
+    f" SELECT m.c AS column, round(mean, 4) AS mean, round(deviation, 4) AS deviation, round(max(greatest(abs(hi - ({cdf_sql('z')})), abs(lo - ({cdf_sql('z')})))), 7) AS distance FROM u JOIN m USING (c) GROUP BY 1, 2, 3",
+)
+def c17_distances(spark, sf_dir):
+    x = E.normal_distances(marginals(spark, sf_dir), ["price", "mixed"])
+    return x.select("column", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), F.round("distance", 7).alias("distance"))
+
+
+def marginals(spark, sf_dir):
+    """Orders with a number that is spread evenly, and one that is a sum of three such."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_totalprice AS price", "o_totalprice / 5000 + o_custkey % 101 + o_orderkey % 97 AS mixed")
+
+
+def quantile_sql(p):
+    """The normal quantile of an expression in (0, 1)."""
+    ratio = lambda parts, r: "(" + ") / (".join(reduce(lambda t, c: f"({t} * {r} + {c!r})", reversed(powers), "0.0::DOUBLE") for powers in parts) + ")"
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(MIDDLE, f'(0.180625 - {q} * {q})')} ELSE sign({q}) * CASE WHEN {r} <= 5 THEN {ratio(TAIL, f'({r} - 1.6)')} ELSE {ratio(FAR_TAIL, f'({r} - 5)')} END END"
+
+
+def edges_sql(column, table):
+    """i, q, next: 1000 quantiles of a column, and the next one; where a value lies among them, by ASOF join."""
+    return f"e AS (SELECT unnest(range(1000)) AS i, unnest((SELECT quantile_cont({column}, list_transform(range(1000), lambda i: i / 999)) FROM {table})) AS q), w AS (SELECT i, q, lead(q) OVER (ORDER BY i) AS next FROM e)"
+
+
+PLACE = "least(greatest(coalesce((i + ({0} - q) / (next - q)) / 999, 1), 1e-7), 1 - 1e-7)"
+
+
+@query(
+    "c17_marginal_scores",
+    f"WITH {X}, {edges_sql('price', 'x')}, p AS (SELECT o_orderkey, {PLACE.format('price')} AS p, mixed, price FROM x ASOF JOIN w ON x.price >= w.q)"
+    f" SELECT o_orderkey, round({quantile_sql('p')}, 7) AS price, round((mixed - (SELECT avg(mixed) FROM x)) / (SELECT stddev_pop(mixed) FROM x), 7) AS mixed FROM p",
+)
+def c17_scores(spark, sf_dir):
+    """The evenly spread column gets the normal quantile of its place, the other its z-score."""
+    x = marginals(spark, sf_dir)
+    return rounded(E.MarginalNormal(["price", "mixed"]).fit(x).transform(x), 7)
+
+
+@query("c17_marginal_inverse", f"WITH {X} SELECT o_orderkey, round(mixed, 6) AS mixed, true AS near, price IN (SELECT min(price) FROM x UNION ALL SELECT max(price) FROM x) AS an_end FROM x")
+def c17_inverse(spark, sf_dir):
+    """Scores turned back: prices within a millionth of their range, its ends exactly."""
+    x = marginals(spark, sf_dir)
+    e = E.MarginalNormal(["price", "mixed"]).fit(x)
+    ends = F.broadcast(x.agg(F.min("price").alias("low"), F.max("price").alias("high")))  # one row
+    back = e.inverse(e.transform(x)).withColumnRenamed("price", "back").join(x.select("o_orderkey", "price"), "o_orderkey").crossJoin(ends)
+    near = F.abs(F.col("back") - F.col("price")) <= (F.col("high") - F.col("low")) / 1e6
+    return back.select("o_orderkey", F.round("mixed", 6).alias("mixed"), near.alias("near"), ((F.col("back") == F.col("low")) | (F.col("back") == F.col("high"))).alias("an_end"))
+
+
+@query("c10_normal_scores", f"WITH {X}, {edges_sql('price', 'x')}, p AS (SELECT o_orderkey, {PLACE.format('price')} AS p FROM x ASOF JOIN w ON x.price >= w.q) SELECT o_orderkey, round({quantile_sql('p')}, 7) AS price FROM p")
+def c10_scores(spark, sf_dir):
+    """The transformed values themselves."""
+    x = marginals(spark, sf_dir).select("o_orderkey", "price")
+    return rounded(E.QuantileNormal(["price"]).fit(x).transform(x), 7)
