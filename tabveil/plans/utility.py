@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabveil.functions import unit_hash
+from tabveil.operators import logistic as L
 from tabveil.operators import utility as U
 from tabveil.plans.distances import rounded
 from tabveil.registry import query, table
@@ -37,7 +39,13 @@ def m04(spark, sf_dir):
 @query("m05_bagged")
 def m05(spark, sf_dir):
     a, _, h = lines(spark, sf_dir)
-    return rounded(U.classification_scores(U.confusion(U.bagged(a, h, "key", FEATURES, "returned"))))
+    return rounded(U.classification_scores(U.confusion(L.bagged(a, h, F.floor(unit_hash(11, F.col("key")) * 3), FEATURES, "returned"))))
+
+
+@query("m04_m06_regression")
+def m04_regression(spark, sf_dir):
+    a, b, h = lines(spark, sf_dir)
+    return rounded(U.utility(a, b, h, ["l_quantity", "l_discount"], "l_extendedprice", ["forest_regression", "boosted_regression"]), 3)
 
 
 @query("m06_boosted")
@@ -75,7 +83,7 @@ def m08b(spark, sf_dir):
 
 @query("m09_cross_validation")
 def m09(spark, sf_dir):
-    return rounded(U.cross_validation(lines(spark, sf_dir)[0], "key", FEATURES, "returned", "logistic", 3))
+    return rounded(L.cross_validation(lines(spark, sf_dir)[0], "key", FEATURES, "returned", 3))
 
 
 @query("m10_mean_utility")
