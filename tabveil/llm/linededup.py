@@ -33,7 +33,9 @@ def repeated(df: DataFrame, names: list[str], at: str) -> DataFrame:
 def deleted_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """_id (a struct, so that null ids join), _h, gone (array<int>): the numbers of the lines to delete from each text that loses any."""
     text = F.col(text_column)
-    lines = docs.select(F.struct(F.col(id_column).alias("id")).alias("_id"), F.xxhash64(text).alias("_h"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    # hashed before the lines are taken apart, so that this happens once a text and not once a line
+    texts = docs.select(F.struct(F.col(id_column).alias("id")).alias("_id"), F.xxhash64(text).alias("_h"), F.split(text, "\n", -1).alias("_lines"))
+    lines = texts.select(*KEY, F.posexplode("_lines").alias("pos", "line"))
     a, b = named(F.col("line"))
     lines = materialise(lines.select(*KEY, "pos", a.alias("a"), b.alias("b"), F.length("line").cast("long").alias("chars")).dropDuplicates([*KEY, "pos"]), "lines")
     again = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b", F.lit(0).alias("fresh"))
@@ -43,7 +45,7 @@ def deleted_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     so_far = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     x = flagged.withColumns({"upto": F.sum("chars").over(so_far), "fresh_upto": F.sum("fresh").over(so_far)})
     x = x.withColumns({"total": F.max("upto").over(doc), "last": F.max("pos").over(doc), "before": F.col("upto") - F.col("chars")})
-    forward = F.coalesce(F.min("pos").over(doc.orderBy("before").rangeBetween(min_chars, Window.unboundedFollowing)) - 1, F.when(F.col("total") - F.col("before") >= min_chars, F.col("last")))
+    forward = F.coalesce(F.min("pos").over(doc.orderBy(F.desc("before")).rangeBetween(Window.unboundedPreceding, -min_chars)) - 1, F.when(F.col("total") - F.col("before") >= min_chars, F.col("last")))
     backward = F.coalesce(F.max("pos").over(doc.orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_chars)) + 1, F.when(F.col("upto") >= min_chars, F.lit(0)))
     x = x.withColumns({"to": forward, "from": backward}).where("fresh = 0")
     # a stretch with a line that occurs once can't recur

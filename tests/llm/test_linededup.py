@@ -47,3 +47,15 @@ def test_a_text_of_many_lines(spark):
     got = {(r.doc_id, r.text is None): r for r in drop_repeated_lines(docs, report=True).collect()}
     assert got[1, False].text == "\n".join([*lines[:100], *run, *lines[100:]]) and got[1, False].n_removed == 20
     assert got[2, False].text == "own" and got[None, False].text == "x" and got[3, False].text == ""
+
+
+def test_a_text_of_very_many_lines(spark):
+    """Work grows with the lines, not with their square; a passage that recurs at the far end goes."""
+    import time
+
+    passage = "\n".join(f"a line of the passage that recurs, number {i}" for i in range(5))
+    text = "\n".join([passage, *(f"{i} x" for i in range(300_000)), passage])
+    began = time.time()
+    got = drop_repeated_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), report=True).first()
+    assert (got.n_lines, got.n_removed) == (300_010, 5) and got.text == text[: -len(passage) - 1]
+    assert time.time() - began < 120
