@@ -12,6 +12,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from tabveil.operators.sampling import bootstrap_means
 
 
 
@@ -144,6 +145,20 @@ def rank_gaps(ranks: DataFrame, k: int, n: int) -> DataFrame:
     return x.join(F.broadcast(y), F.col("a") != F.col("b")).select("a", "b", gap.alias("gap"), sign.alias("sign"), times.alias("times")).withColumn("mark", mark).drop("sign", "times")  # a row for each model
 
 
+def rank_gap_report(ranks: DataFrame, alphas: tuple[float, ...] = (0.01, 0.05, 0.10)) -> DataFrame:
+    """a, b, gap, mark, models, blocks and cd_<percent> for every ordered pair of models, from mean ranks by block (dataset, model, mean_rank).
+
+    The models and the datasets are counted; cd is the critical difference of mean ranks at each level. One model has
+    no pairs.
+    """
+    size = ranks.agg(F.count_distinct("model").alias("k"), F.count_distinct("dataset").alias("n")).first()
+    mean = ranks.groupBy("model").agg(F.avg("mean_rank").alias("mean_rank"))
+    if size.k < 2:
+        return rank_gaps(mean.limit(0), 2, 1).withColumns({"models": F.lit(size.k), "blocks": F.lit(size.n), **{f"cd_{round(100 * a)}": F.lit(None).cast("double") for a in alphas}})
+    levels = {f"cd_{round(100 * a)}": F.lit(critical_difference(size.k, size.n, a)) for a in alphas}
+    return rank_gaps(mean, size.k, size.n).withColumns({"models": F.lit(size.k), "blocks": F.lit(size.n), **levels})
+
+
 def friedman(scores: DataFrame, block: list[str]) -> DataFrame:
     """One row: k models, n blocks, statistic (corrected for ties) over score tables with model and value."""
     x = average_rank(scores, block, "value")
@@ -163,6 +178,21 @@ def win_rates(scores: DataFrame, block: list[str]) -> DataFrame:
     return x.join(y, block).where("a != b").groupBy("a", "b").agg(F.avg(won).alias("win_rate"))
 
 
+def win_rates_with_error(scores: DataFrame, block: list[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """a, b, win_rate, se: as win_rates, with the deviation of the rates of replicates in which each block has a Poisson(1) weight."""
+    x, y = scores.select(*block, F.col("model").alias("a"), F.col("value").alias("_a")), scores.select(*block, F.col("model").alias("b"), F.col("value").alias("_b"))
+    won = F.when(F.col("_a") > F.col("_b"), 1.0).when(F.col("_a") == F.col("_b"), 0.5).otherwise(0.0)
+    pairs = x.join(y, block).where("a != b").select(*block, "a", "b", won.alias("won"))
+    return bootstrap_means(pairs, block, "won", ["a", "b"], replicates, seed).withColumnRenamed("mean", "win_rate")
+
+
+def threshold_scores(scores: DataFrame, ranges: DataFrame) -> DataFrame:
+    """scores with score, the threshold score of each value; ranges has metric, low, high, and a metric that isn't there gives 0.5."""
+    known = ranges.select(F.col("metric").alias("_metric"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    x = scores.join(F.broadcast(known), F.col("metric") == F.col("_metric"), "left")  # a row for each metric
+    return x.select(*scores.columns, threshold_score(F.col("value"), F.col("_low"), F.col("_high")).alias("score"))
+
+
 def rank_matrix(ranks: DataFrame, models: list[str]) -> DataFrame:
     """dataset, a column of mean ranks for each model, and their average."""
     x = ranks.groupBy("dataset").pivot("model", models).agg(F.first("mean_rank"))

@@ -242,3 +242,44 @@ def r16(spark, sf_dir):
 @query("r17_sufficiency_ranks", f"WITH {CURVE}, r AS (SELECT row_number, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2 AS r FROM c) SELECT row_number, round(avg(r), 6) AS mean_rank FROM r GROUP BY 1")
 def r17(spark, sf_dir):
     return ranking.sufficiency_ranks(curve(spark, sf_dir)).select("row_number", R("mean_rank"))
+
+
+#: Published critical values of the studentised range over the root of 2, for 2 to 6 models, at 0.01, 0.05 and 0.10.
+CRITICAL = {"cd_1": (2.576, 2.913, 3.113, 3.255, 3.364), "cd_5": (1.960, 2.344, 2.569, 2.728, 2.850), "cd_10": (1.645, 2.052, 2.291, 2.460, 2.589)}
+
+
+def critical_sql(name):
+    return f"{list(CRITICAL[name])}[k - 1] * sqrt(k * (k + 1) / (6 * n))"
+
+
+@query(
+    "r07_critical_differences",
+    f"WITH {RANKS}, z AS (SELECT count(DISTINCT model) AS k, count(DISTINCT dataset) AS n FROM m), a AS (SELECT model, avg(mean_rank) AS mean_rank FROM m GROUP BY 1) SELECT x.model AS a, y.model AS b, round(x.mean_rank - y.mean_rank, 6) AS gap, k AS models, n AS blocks, "
+    + ", ".join(f"round({critical_sql(c)}, 2) AS {c}" for c in CRITICAL)
+    + f", CASE WHEN x.mean_rank = y.mean_rank THEN '0' ELSE repeat(CASE WHEN x.mean_rank > y.mean_rank THEN '+' ELSE '-' END, CASE WHEN abs(x.mean_rank - y.mean_rank) >= {critical_sql('cd_1')} THEN 3 WHEN abs(x.mean_rank - y.mean_rank) >= {critical_sql('cd_5')} THEN 2 ELSE 1 END) END AS mark FROM a x, a y, z WHERE x.model <> y.model",
+)
+def r07_critical(spark, sf_dir):
+    """Gaps of mean ranks over datasets, with models and datasets counted, the critical differences and the marks."""
+    x = ranking.rank_gap_report(ranking.mean_ranks(scores(spark, sf_dir)).select("dataset", "model", "mean_rank"))
+    return x.select("a", "b", R("gap"), F.col("models").cast("long").alias("models"), F.col("blocks").cast("long").alias("blocks"), *[R(c, 2) for c in CRITICAL], "mark")
+
+
+POISSON = " + ".join(f"({{u}} >= {p!r})::INTEGER" for p in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119))
+
+
+@query(
+    "r10_win_rate_errors",
+    f"WITH {SCORES}, p AS (SELECT dataset, metric, x.model AS a, y.model AS b, CASE WHEN x.value > y.value THEN 1.0 WHEN x.value = y.value THEN 0.5 ELSE 0 END AS won FROM s x JOIN s y USING (dataset, metric) WHERE x.model <> y.model),"
+    + " w AS (SELECT dataset, metric, r, "
+    + POISSON.format(u="(CAST('0x' || substr(md5('0:' || r || ':' || dataset || ':' || metric), 1, 8) AS BIGINT) / 4294967296.0)")
+    + " AS w FROM (SELECT DISTINCT dataset, metric FROM p), (SELECT unnest(range(1, 201)) AS r)), t AS (SELECT a, b, r, sum(w * won) / nullif(sum(w), 0) AS m FROM p JOIN w USING (dataset, metric) GROUP BY 1, 2, 3)"
+    " SELECT a, b, round(rate, 6) AS win_rate, round(se, 6) AS se FROM (SELECT a, b, avg(won) AS rate FROM p GROUP BY 1, 2) JOIN (SELECT a, b, stddev_pop(m) AS se FROM t GROUP BY 1, 2) USING (a, b)",
+)
+def r10_errors(spark, sf_dir):
+    return ranking.win_rates_with_error(scores(spark, sf_dir), ["dataset", "metric"], 200).select("a", "b", R("win_rate"), R("se"))
+
+
+@query("r14_threshold_scores", f"WITH {CURVE} SELECT row_number, metric, value, round(CASE WHEN metric = 'A' THEN greatest(least((value - 20000) / 30000, 1), 0) WHEN metric = 'N' THEN greatest(least((value - 25000) / 200, 1), 0) ELSE 0.5 END, 8) AS score FROM c")
+def r14(spark, sf_dir):
+    ranges = spark.createDataFrame([("A", 20000.0, 50000.0), ("N", 25000.0, 25200.0)], "metric string, low double, high double")
+    return ranking.threshold_scores(curve(spark, sf_dir), ranges).select("row_number", "metric", "value", R("score", 8))

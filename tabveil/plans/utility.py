@@ -86,6 +86,24 @@ def m09(spark, sf_dir):
     return rounded(L.cross_validation(lines(spark, sf_dir)[0], "key", FEATURES, "returned", 3))
 
 
+NEWTON = """WITH RECURSIVE o AS (SELECT o_orderkey % 3 AS fold, o_totalprice AS v, (o_totalprice + o_custkey % 1000 * 300 > 400000)::INTEGER AS y FROM orders),
+    t AS (SELECT i, v, y FROM o, (SELECT unnest(range(3)) AS i) WHERE fold <> i), s AS (SELECT i, avg(v) AS mean, stddev_samp(v) AS dev, sum(y) AS yes, sum(1 - y) AS no FROM t GROUP BY 1),
+    z AS (SELECT i, (v - mean) / dev AS z, y, CASE WHEN y = 1 THEN 0.5 / yes ELSE 0.5 / no END AS w FROM t JOIN s USING (i)),
+    n(i, step, slope, base) AS (SELECT i, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM s UNION ALL
+      SELECT i, step + 1, slope - (hb * (gs + 0.01 * slope) - hx * gb) / ((hs + 0.01) * hb - hx * hx), base - ((hs + 0.01) * gb - hx * (gs + 0.01 * slope)) / ((hs + 0.01) * hb - hx * hx)
+      FROM (SELECT n.i, n.step, n.slope, n.base, sum(w * (p - y) * z) AS gs, sum(w * (p - y)) AS gb, sum(w * p * (1 - p) * z * z) AS hs, sum(w * p * (1 - p) * z) AS hx, sum(w * p * (1 - p)) AS hb
+        FROM (SELECT n.*, z.z, z.y, z.w, 1 / (1 + exp(-(n.slope * z.z + n.base))) AS p FROM n JOIN z ON z.i = n.i WHERE n.step < 15) n GROUP BY 1, 2, 3, 4))
+    SELECT CAST(i AS INTEGER) AS model, round(slope, 8) AS slope, round(base, 8) AS intercept FROM n WHERE step = 15"""
+
+
+@query("m09_fold_coefficients", NEWTON)
+def m09_coefficients(spark, sf_dir):
+    """The models of a cross-validation over three folds, fitted together: on standardised prices, whether an order is large for its customer."""
+    x = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("fold"), F.col("o_totalprice").alias("v"), (F.col("o_totalprice") + F.col("o_custkey") % 1000 * 300 > 400000).cast("int").alias("y"))
+    models = L.fold_logistics(x, F.col("fold"), ["v"], "y", 3)
+    return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(models.coefficients)], "model int, slope double, intercept double").select("model", F.round("slope", 8).alias("slope"), F.round("intercept", 8).alias("intercept"))
+
+
 @query("m10_mean_utility")
 def m10(spark, sf_dir):
     a, b, h = lines(spark, sf_dir)

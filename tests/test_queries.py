@@ -37,7 +37,7 @@ def rows(columns, records):
 
 
 #: Fitting several models takes long; these run in the slow test.
-SLOW = {"d01_cluster_anonymity", "d03_cluster_diversity", "d04_k_map", "d05_delta_presence", "m01_m02_utility", "m03_svm", "m04_forest", "m05_bagged", "m06_boosted", "m09_cross_validation", "m10_mean_utility"}
+SLOW = {"d01_cluster_anonymity", "d03_cluster_diversity", "d04_k_map", "d05_delta_presence", "m01_m02_utility", "m03_svm", "m04_forest", "m04_m06_regression", "m06_boosted", "m10_mean_utility"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
