@@ -286,7 +286,7 @@ def support_curves(real: DataFrame, synthetic: DataFrame, columns: list[str], st
     Precision is the share of synthetic rows within the ball around the real centre that holds a share alpha of the
     real rows. Recall is the share of real rows that have a synthetic row no farther away than any other real row, this
     nearest synthetic row (of equal ones that of the smallest id) lying in the ball around the synthetic centre that
-    holds a share alpha of these nearest rows.
+    holds a share alpha of these nearest rows. Rows at a ball's edge, up to rounding, are inside.
     """
     alphas = [i / (steps - 1) for i in range(steps)]
 
@@ -303,7 +303,7 @@ def support_curves(real: DataFrame, synthetic: DataFrame, columns: list[str], st
     near = materialise(near, "covered")
     balls = quantiles(a.select(F.lit("p").alias("kind"), away(a, a).alias("d")).unionByName(near.select(F.lit("r").alias("kind"), "d")), ["kind"], "d", alphas)
     cuts = balls.agg(*[F.max(F.when(F.col("_g.kind") == k, F.col("q"))).alias(k) for k in "pr"])
-    inside = lambda d, k, hit: d.crossJoin(F.broadcast(cuts)).agg(F.array(*[F.avg(((F.col("d") <= F.col(k)[i]) & hit).cast("double")) for i in range(steps)]).alias(k))  # noqa: E731  one row
+    inside = lambda d, k, hit: d.crossJoin(F.broadcast(cuts)).agg(F.array(*[F.avg(((F.col("d") <= F.col(k)[i] * (1 + 1e-12)) & hit).cast("double")) for i in range(steps)]).alias(k))  # noqa: E731  one row
     x = inside(b.select(away(b, a).alias("d")), "p", F.lit(True)).crossJoin(inside(near, "r", F.col("covered")))  # one row each
     return x.select(F.posexplode(F.arrays_zip(F.array(*map(F.lit, alphas)).alias("alpha"), "p", "r")).alias("i", "x")).select("x.alpha", F.col("x.p").alias("precision"), F.col("x.r").alias("recall"))
 
