@@ -19,20 +19,44 @@ def listwise(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns).na.drop("any")
 
 
+def taken(df: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
+    """The columns, without unknown values: "listwise" leaves out rows with NULL or NaN in any of them, "columnwise" these values only."""
+    if nulls == "listwise":
+        return listwise(df, columns)
+    if nulls != "columnwise":
+        raise ValueError(f"nulls is listwise or columnwise, not {nulls}")
+    real = {c for c, t in df.select(*columns).dtypes if t in ("double", "float")}
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in real else F.col(c) for c in columns])
+
+
 def by_column(x: DataFrame, value: Column) -> DataFrame:
     return x.groupBy("column").agg(value.alias("value"))
 
 
-def kl_discrete(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+def kl_discrete(real: DataFrame, synthetic: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
     """Sum of p ln(p / q) over the categories of either table; infinite where a real category is lacking."""
     p, q = F.col("p"), F.col("q")
-    return by_column(paired_shares(real, synthetic, columns), F.sum(F.when(p == 0, 0.0).when(q == 0, float("inf")).otherwise(p * F.ln(F.try_divide(p, q)))))
+    return by_column(paired_shares(taken(real, columns, nulls), taken(synthetic, columns, nulls), columns), F.sum(F.when(p == 0, 0.0).when(q == 0, float("inf")).otherwise(p * F.ln(F.try_divide(p, q)))))
 
 
-def chi2_proportion(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+def chi2_proportion(real: DataFrame, synthetic: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
     """Sum of (p - q)**2 / q, on shares; infinite where a real category is lacking."""
     p, q = F.col("p"), F.col("q")
-    return by_column(paired_shares(real, synthetic, columns), F.sum(F.when(q == 0, float("inf")).otherwise(F.try_divide((p - q) * (p - q), q))))
+    return by_column(paired_shares(taken(real, columns, nulls), taken(synthetic, columns, nulls), columns), F.sum(F.when(q == 0, float("inf")).otherwise(F.try_divide((p - q) * (p - q), q))))
+
+
+def chi2_counts(real: DataFrame, synthetic: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
+    """column, statistic, degrees, contingency: the test that shares are too small for.
+
+    The statistic adds up (n - e)**2 / e, where n are the real counts and e what as many rows would have by the synthetic
+    shares; it is infinite where a real category is lacking. degrees is one less than the categories of either table;
+    contingency is sqrt(statistic / (statistic + n)), 0 for equal shares, whatever the number of rows.
+    """
+    x = paired_shares(taken(real, columns, nulls), taken(synthetic, columns, nulls), columns)
+    share = F.try_divide((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q"))
+    x = x.groupBy("column").agg(F.sum(F.when(F.col("q") == 0, float("inf")).otherwise(share)).alias("s"), F.sum("n").alias("n"), (F.count("*") - 1).alias("degrees"))
+    mean = F.when(F.col("s") == float("inf"), 1.0).otherwise(F.sqrt(F.col("s") / (F.col("s") + 1)))
+    return x.select("column", (F.col("s") * F.col("n")).alias("statistic"), "degrees", mean.alias("contingency"))
 
 
 def dwp_discrete(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,13 +81,13 @@ def moments(df: DataFrame, columns: list[str], side: str) -> DataFrame:
     return df.agg(F.array(*[F.struct(F.lit(c).alias("column"), *[f(F.col(c).cast("double")).alias(f"{side}_{k}") for k, f in kinds.items()]) for c in columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def both_moments(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
-    return moments(listwise(real, columns), columns, "r").join(moments(listwise(synthetic, columns), columns, "s"), "column")
+def both_moments(real: DataFrame, synthetic: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
+    return moments(taken(real, columns, nulls), columns, "r").join(moments(taken(synthetic, columns, nulls), columns, "s"), "column")
 
 
-def kl_normal(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+def kl_normal(real: DataFrame, synthetic: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
     """KL divergence of the two normals with each side's mean and population deviation."""
-    x = both_moments(real, synthetic, columns)
+    x = both_moments(real, synthetic, columns, nulls)
     d = F.col("r_mean") - F.col("s_mean")
     return x.select("column", (F.ln(F.try_divide("s_pop", "r_pop")) + F.try_divide(F.col("r_pop") * F.col("r_pop") + d * d, 2 * F.col("s_pop") * F.col("s_pop")) - 0.5).alias("value"))
 
@@ -115,8 +139,8 @@ def distributions(real: DataFrame, synthetic: DataFrame, columns: list[str]) ->
     return x.select("column", "v", "previous", "n", "m", F.try_divide("n_upto", "all_n").alias("f"), F.try_divide("m_upto", "all_m").alias("g"), "all_n", "all_m")
 
 
-def kolmogorov_smirnov(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
-    return by_column(distributions(real, synthetic, columns), F.max(F.abs(F.col("f") - F.col("g"))))
+def kolmogorov_smirnov(real: DataFrame, synthetic: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
+    return by_column(distributions(taken(real, columns, nulls), taken(synthetic, columns, nulls), columns), F.max(F.abs(F.col("f") - F.col("g"))))
 
 
 def wasserstein(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
@@ -128,10 +152,10 @@ def wasserstein(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> Da
     return by_column(x, F.try_divide(F.sum(F.coalesce(area, F.lit(0.0))), ends))
 
 
-def pearson_pairs(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+def pearson_pairs(real: DataFrame, synthetic: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
     """a, b, r, s: both tables' correlations."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    of = lambda d, n: listwise(d, columns).agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n)) for a, b in pairs]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    of = lambda d, n: taken(d, columns, nulls).agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n)) for a, b in pairs]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     return of(real, "r").join(of(synthetic, "s"), ["a", "b"])
 
 
@@ -139,9 +163,9 @@ def known(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def pearson_difference(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+def pearson_difference(real: DataFrame, synthetic: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
     """a, b, value: |r - s|; a pair without both correlations is skipped."""
-    return pearson_pairs(real, synthetic, columns).where(known(F.col("r")) & known(F.col("s"))).select("a", "b", F.abs(F.col("r") - F.col("s")).alias("value"))
+    return pearson_pairs(real, synthetic, columns, nulls).where(known(F.col("r")) & known(F.col("s"))).select("a", "b", F.abs(F.col("r") - F.col("s")).alias("value"))
 
 
 def correlation_distance(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
@@ -166,9 +190,9 @@ def correlation_loss(real: DataFrame, synthetic: DataFrame, columns: list[str])
     return x.select((F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b) / len(pairs)).alias("value"))
 
 
-def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
+def cramers_v(df: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
     """a, b, v for each pair of discrete columns; NULL where a column has one value."""
-    x = pair_frequencies(listwise(df, columns), columns)
+    x = pair_frequencies(taken(df, columns, nulls), columns).where("a IS NOT NULL AND b IS NOT NULL")
     keys = ["column_a", "column_b"]
     rows, cols = x.groupBy(*keys, "a").agg(F.sum("n").alias("ra")), x.groupBy(*keys, "b").agg(F.sum("n").alias("cb"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("r"), F.sum("ra").alias("n_all")).join(cols.groupBy(*keys).agg(F.count("*").alias("c")), keys)
@@ -178,8 +202,8 @@ def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
     return s.join(sizes, keys).select(F.col("column_a").alias("a"), F.col("column_b").alias("b"), v.alias("v"))
 
 
-def cramers_difference(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
-    x = cramers_v(real, columns).join(cramers_v(synthetic, columns).withColumnRenamed("v", "w"), ["a", "b"])
+def cramers_difference(real: DataFrame, synthetic: DataFrame, columns: list[str], nulls: str = "listwise") -> DataFrame:
+    x = cramers_v(real, columns, nulls).join(cramers_v(synthetic, columns, nulls).withColumnRenamed("v", "w"), ["a", "b"])
     return x.where("v IS NOT NULL AND w IS NOT NULL").select("a", "b", F.abs(F.col("v") - F.col("w")).alias("value"))
 
 

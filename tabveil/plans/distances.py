@@ -47,8 +47,8 @@ def e03(spark, sf_dir):
     return rounded(D.chi2_proportion(*pair(spark, sf_dir), DISCRETE))
 
 
-def cdf(c):
-    return f"SELECT '{c}' AS col, v, lag(v) OVER (ORDER BY v) AS previous, sum(n) OVER (ORDER BY v) / sum(n) OVER () AS f, sum(m) OVER (ORDER BY v) / sum(m) OVER () AS g, n, m, n / sum(n) OVER () AS pn, m / sum(m) OVER () AS pm FROM (SELECT {c} AS v, sum(n) AS n, sum(m) AS m FROM (SELECT {c}, 1 AS n, 0 AS m FROM {A} UNION ALL SELECT {c}, 0, 1 FROM {B}) GROUP BY 1)"
+def cdf(c, a=A, b=B):
+    return f"SELECT '{c}' AS col, v, lag(v) OVER (ORDER BY v) AS previous, sum(n) OVER (ORDER BY v) / sum(n) OVER () AS f, sum(m) OVER (ORDER BY v) / sum(m) OVER () AS g, n, m, n / sum(n) OVER () AS pn, m / sum(m) OVER () AS pm FROM (SELECT {c} AS v, sum(n) AS n, sum(m) AS m FROM (SELECT {c}, 1 AS n, 0 AS m FROM {a} UNION ALL SELECT {c}, 0, 1 FROM {b}) WHERE {c} IS NOT NULL GROUP BY 1)"
 
 
 CDF = "WITH x AS (" + " UNION ALL ".join(map(cdf, CONTINUOUS)) + ") "
@@ -245,3 +245,50 @@ def e24_auc(spark, sf_dir):
     imputed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_returnflag").alias("v"))
     truth = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.when(F.col("o_orderstatus") == "F", "R").otherwise("N").alias("v"))
     return rounded(D.imputation_auc(imputed, truth, "row", "v"), 9)
+
+
+@query(
+    "e03_chi2_counts",
+    f"WITH a AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 1), {shares_sql('a', 'b', *DISCRETE)}, t AS (SELECT *, q * sum(n) OVER (PARTITION BY col) AS e FROM j)"
+    " SELECT col AS column, round(sum((n - e) * (n - e) / e), 4) AS statistic, count(*) - 1 AS degrees, round(sqrt(sum((n - e) * (n - e) / e) / (sum((n - e) * (n - e) / e) + sum(n))), 7) AS contingency FROM t GROUP BY 1",
+)
+def e03_counts(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", *DISCRETE)
+    x = D.chi2_counts(x.where("l_orderkey % 2 = 0"), x.where("l_orderkey % 2 = 1"), DISCRETE)
+    return x.select("column", F.round("statistic", 4).alias("statistic"), "degrees", F.round("contingency", 7).alias("contingency"))
+
+
+#: Line items with unknown flags and discounts.
+FLAG, DISCOUNT = "CASE WHEN l_quantity <= 45 THEN l_returnflag END", "CASE WHEN l_linenumber <> 3 THEN l_discount END"
+KINDS, AMOUNTS = ["flag", "l_linestatus"], ["discount", "l_extendedprice"]
+
+
+def unknown_sql(mode, a, b):
+    """What the six distances are between two tables with unknown values."""
+    r, s = (f"(SELECT * FROM {t} WHERE flag IS NOT NULL)" if mode == "listwise" else t for t in (a, b))
+    x, y = (f"(SELECT * FROM {t} WHERE discount IS NOT NULL)" if mode == "listwise" else t for t in (a, b))
+    j, both = f"(WITH {shares_sql(r, s, *KINDS)} SELECT * FROM j)", lambda t: f"(SELECT * FROM {t} WHERE flag IS NOT NULL)"
+    side = lambda t, c: f"(SELECT avg({c}) AS mean, stddev_pop({c}) AS pop FROM {t})"
+    parts = [f"SELECT 'kl' AS metric, col, sum(CASE WHEN p = 0 THEN 0 WHEN q = 0 THEN CAST('inf' AS DOUBLE) ELSE p * ln(p / q) END) AS value FROM {j} GROUP BY ALL", f"SELECT 'chi2', col, sum((p - q) * (p - q) / q) FROM {j} GROUP BY ALL"]
+    for c in AMOUNTS:
+        parts.append(f"SELECT 'kl normal', '{c}', ln(s.pop / r.pop) + (r.pop * r.pop + (r.mean - s.mean) * (r.mean - s.mean)) / (2 * s.pop * s.pop) - 0.5 FROM {side(x, c)} r, {side(y, c)} s")
+        parts.append(f"SELECT 'ks', '{c}', max(abs(f - g)) FROM ({cdf(c, x, y)})")
+    parts.append(f"SELECT 'pearson', 'discount, l_extendedprice', abs((SELECT corr(discount, l_extendedprice) FROM {x}) - (SELECT corr(discount, l_extendedprice) FROM {y}))")
+    parts.append(f"SELECT 'cramer', 'flag, l_linestatus', abs({cramer(both(r), 'flag', 'l_linestatus')} - {cramer(both(s), 'flag', 'l_linestatus')})")
+    return f"SELECT '{mode}' AS nulls, metric, col AS column, round(value, 6) AS value FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(
+    "e01_e06_unknown_values",
+    f"WITH x AS (SELECT l_orderkey % 2 AS side, l_linestatus, l_extendedprice, {FLAG} AS flag, {DISCOUNT} AS discount FROM lineitem), a AS (SELECT * FROM x WHERE side = 0), b AS (SELECT * FROM x WHERE side = 1) {unknown_sql('listwise', 'a', 'b')} UNION ALL {unknown_sql('columnwise', 'a', 'b')}",
+)
+def e01_e06(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 2).alias("side"), "l_linestatus", "l_extendedprice", F.expr(FLAG).alias("flag"), F.expr(DISCOUNT).alias("discount"))
+    a, b, out = x.where("side = 0"), x.where("side = 1"), None
+    for nulls in ("listwise", "columnwise"):
+        for metric, distance, columns in (("kl", D.kl_discrete, KINDS), ("chi2", D.chi2_proportion, KINDS), ("kl normal", D.kl_normal, AMOUNTS), ("ks", D.kolmogorov_smirnov, AMOUNTS), ("pearson", D.pearson_difference, AMOUNTS), ("cramer", D.cramers_difference, KINDS)):
+            d = distance(a, b, columns, nulls)
+            column = F.col("column") if "column" in d.columns else F.concat_ws(", ", "a", "b")
+            d = d.select(F.lit(nulls).alias("nulls"), F.lit(metric).alias("metric"), column.alias("column"), F.round("value", 6).alias("value"))
+            out = d if out is None else out.unionByName(d)
+    return out

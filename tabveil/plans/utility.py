@@ -64,6 +64,13 @@ def m07(spark, sf_dir):
     return rounded(U.classification_scores(U.confusion(x)))
 
 
+@query("m07_swapped_scores", f"WITH {CLASSES.replace('l_linenumber % 3 AS y, l_suppkey % 3 AS g', 'l_suppkey % 3 AS y, l_linenumber % 3 AS g')} SELECT round(avg(recall), 6) AS balanced_accuracy, round(sum(share * precision), 6) AS precision, round(sum(share * recall), 6) AS recall, round(sum(share * f1), 6) AS f1, round(sum(share * sqrt(recall * spec)), 6) AS gmean, round(sum(f1 * (1 - share)) / (count(*) - 1), 6) AS inverse_f1, (SELECT round(1 - avg(pow(l_extendedprice - l_quantity * 1000, 2)) / var_pop(l_quantity * 1000), 6) FROM lineitem) AS r2 FROM m")
+def m07_swapped(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 3).alias("label"), (F.col("l_suppkey") % 3).alias("prediction"), "l_extendedprice", (F.col("l_quantity") * 1000).alias("guess"))
+    r2 = U.regression_scores(x, "l_extendedprice", "guess", swapped=True).select("r2")
+    return rounded(U.classification_scores(U.confusion(x), swapped=True).crossJoin(r2))  # one row each
+
+
 @query("m07_auc", "WITH x AS (SELECT l_quantity AS s, l_returnflag = 'R' AS y FROM lineitem), c AS (SELECT s, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE NOT y) AS neg FROM x GROUP BY 1), r AS (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM c) SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 8) AS auc FROM r")
 def m07b(spark, sf_dir):
     return rounded(U.rank_auc(table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag"), F.col("l_returnflag") == "R", "l_quantity"), 8)

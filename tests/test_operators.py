@@ -178,3 +178,31 @@ def test_samples_in_one_scan_equal_samples_one_by_one(spark):
     assert samples.select(F.explode("reps")).count() == pytest.approx(6 * 30, rel=0.5)
     plan = replicates.sample_scores(real, replicates.replicate_lists(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").selectExpr("o_orderkey AS id", "o_orderstatus AS c", "o_orderpriority AS d", "o_totalprice AS x", "o_custkey AS y"), "id", 500, 0.1), 500, ["c", "d"], ["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("500") < 20 and plan.count("Union") == 0
+
+
+def test_unknown_values_are_left_out_by_row_or_by_column(spark):
+    real = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", None), (None, 4.0)], "cat string, num double")
+    fake = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, None)], "cat string, num double")
+    value = lambda d, c: {r.column: r.value for r in d.collect()}[c]
+    by_row = distances.chi2_proportion(real.withColumn("other", F.col("num")), fake.withColumn("other", F.col("num")), ["cat", "other"])
+    assert value(by_row, "cat") == pytest.approx(1.0)  # only the first row is known: shares 1 and 0 against 1/2 and 1/2
+    assert value(distances.chi2_proportion(real.select("cat", "num"), fake, ["cat", "num"], nulls="columnwise"), "cat") == pytest.approx(2 * (2 / 3 - 1 / 2) ** 2 / 0.5)
+    assert value(distances.kolmogorov_smirnov(real, fake, ["num"], nulls="columnwise"), "num") == pytest.approx(0.5)
+    with pytest.raises(ValueError):
+        distances.kl_normal(real, fake, ["num"], nulls="none")
+
+
+def test_chi2_of_counts(spark):
+    real = spark.createDataFrame([("a",)] * 30 + [("b",)] * 10, "cat string")
+    fake = spark.createDataFrame([("a",)] * 2 + [("b",)] * 2, "cat string")
+    r = distances.chi2_counts(real, fake, ["cat"]).first()
+    assert (r.statistic, r.degrees) == (pytest.approx(10.0), 1) and r.contingency == pytest.approx(math.sqrt(10 / 50))
+    lacking = distances.chi2_counts(real, fake.where("cat = 'a'"), ["cat"]).first()
+    assert lacking.statistic == math.inf and lacking.contingency == 1
+    assert distances.chi2_counts(real.limit(0), fake.limit(0), ["cat"]).collect() == []
+
+
+def test_swapped_scores(spark):
+    counts = spark.createDataFrame([(0.0, 0.0, 6), (0.0, 1.0, 2), (1.0, 1.0, 3)], "y double, g double, n long")
+    plain, swapped = utility.classification_scores(counts).first(), utility.classification_scores(counts, swapped=True).first()
+    assert plain.balanced_accuracy == pytest.approx((6 / 8 + 1) / 2) and swapped.balanced_accuracy == pytest.approx((1 + 3 / 5) / 2)
