@@ -131,7 +131,11 @@ def document_lengths(blocks: DataFrame, end: int = END, token_bytes: int = 2, se
 
 
 def count_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """id_column, n_tokens: texts written as flat token files in the shared folder, then counted from these alone."""
+    """id_column, n_tokens: texts written as flat token files in the shared folder, then counted from these alone.
+
+    One row for each row of docs: repeated rows and ids are counted each, a null id stays null, null and empty texts have
+    0 tokens. There are no ties to break. An empty table gives no rows; other columns are not read.
+    """
     files = materialise(token_files(docs, id_column=id_column, text_column=text_column, **options), "token-files")
     ids = files.select("file", "first", F.posexplode("ids").alias("i", id_column)).select("file", (F.col("first") + F.col("i")).alias("number"), id_column)
     return document_lengths(files).join(ids, ["file", "number"]).select(id_column, "n_tokens")

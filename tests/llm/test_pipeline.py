@@ -66,3 +66,19 @@ def test_rows_of_odd_kinds(spark):
         assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
     assert sum(r.doc_id is None for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()) == 1
     assert corpus_pipeline.bpe_encode(spark, docs, SF).where("n_tokens = 0").count() == 2
+
+
+def test_quality_judges_rows_not_ids(spark):
+    """A bad text goes though another row of its id is good, and rows without an id are judged by their text."""
+    scores = classify(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    all_texts = texts(spark.read.parquet(f"{SF}/documents.parquet"))
+    best, worst = (all_texts[f(scores, key=lambda r: r.score).doc_id] for f in (max, min))
+    start = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(1, best), (1, worst), (2, worst), (None, best), (None, worst), (3, best), (3, best), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").select(*start.columns)
+    # the classifier is fitted on labelled rows of what it gets, so the documents come along
+    got = corpus_pipeline.quality_classifier(spark, start.unionByName(docs.withColumn("doc_id", docs.doc_id + 10**9)), SF)
+    assert got.columns == start.columns
+    new = [(r.doc_id and r.doc_id - 10**9, r.text) for r in got.where("doc_id IS NULL OR doc_id >= 1000000000").collect()]
+    assert sorted(((i or 0, t) for i, t in new if t)) == sorted([(1, best), (0, best), (3, best), (3, best)])
+    assert corpus_pipeline.quality_classifier(spark, docs.limit(0), SF).count() == 0

@@ -42,3 +42,10 @@ def test_documents(spark):
     library.encode_special_tokens = True
     got = {x.doc_id: x.n_tokens for x in tokencounts.count_tokens(docs, block_tokens=64).collect()}
     assert got == {n: len(library.encode(t or "", add_special_tokens=False).ids) for n, t in enumerate(texts)}
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a"), (2, None), (None, "")], "doc_id long, text string")
+    got = tokencounts.count_tokens(docs, block_tokens=4).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 0), (0, 1), (1, 2), (1, 2), (2, 0)]
+    assert tokencounts.count_tokens(docs.limit(0)).collect() == []
