@@ -13,14 +13,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, which rows share that have the same id (or none) and the same text."""
+    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels that aren't held out, accepts; null ids are rejected."""
-    kept = quality.classify(docs.select("doc_id", "text"), read(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Rows whose text the classifier, fitted on the labels that aren't held out, accepts.
+
+    Each row is judged by its own text, also where its id is null or other rows have the same one; repeated rows share
+    their fate. Null and empty texts get the score of a text without features. An empty table gives none.
+    """
+    rows = keyed(docs)
+    kept = quality.classify(rows, read(spark, sf_dir, "labels"), "doc_id", "text", "_key").where("predicted = 1").select("_key").distinct()
+    return rows.join(kept, "_key", "left_semi").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; a document that loses all its lines goes with them. n_chars follows the text."""
+    """Later copies of repeated line runs go; a document that loses all its lines goes with them. n_chars follows the text.
+
+    Null texts have no lines and stay, and so do empty ones. Null ids come before all others. Rows that repeat both id and
+    text are one document and get the same result. An empty table gives none.
+    """
     found = linededup.drop_repeated_lines(docs, report=True)
     empty = (F.col("n_removed") > 0) & (F.length(F.trim("text")) == 0)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -33,9 +47,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null ids come last; rows that repeat both id and text are one document, of which one row stays. Null and empty texts
     have no shingles and stay. An empty table gives none.
     """
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
-    found = jaccard.similar_documents(keyed.select("_key", "text"), id_column="_key").where("_key = component_id").select("_key").distinct()
-    return keyed.join(found, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    rows = keyed(docs)
+    found = jaccard.similar_documents(rows.select("_key", "text"), id_column="_key").where("_key = component_id").select("_key").distinct()
+    return rows.join(found, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
