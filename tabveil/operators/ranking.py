@@ -160,15 +160,20 @@ def rank_gap_report(ranks: DataFrame, alphas: tuple[float, ...] = (0.01, 0.05, 0
 
 
 def friedman(scores: DataFrame, block: list[str]) -> DataFrame:
-    """One row: k models, n blocks, statistic (corrected for ties) over score tables with model and value."""
+    """One row: k models, n blocks, statistic (corrected for ties) over score tables with model and value.
+
+    The statistic is NaN where it isn't defined: one model, or all models tied in every block; NULL without scores.
+    """
     x = average_rank(scores, block, "value")
     models = x.groupBy("model").agg(F.avg("rank").alias("m"))
     ties = x.groupBy(*block, "value").agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = x.select(*block).distinct().agg(F.count("*").cast("double").alias("n"))
     s = models.agg(F.count("*").cast("double").alias("k"), F.sum(F.col("m") * F.col("m")).alias("m2"), F.sum("m").alias("m1")).crossJoin(n).crossJoin(ties)  # one row each
-    square = F.col("m2") - F.col("m1") * F.col("m1") / F.col("k")
-    raw = F.lit(12.0) * F.col("n") / (F.col("k") * (F.col("k") + 1)) * square
-    return s.select(F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n"), (raw / (1 - F.col("ties") / (F.col("n") * F.col("k") * (F.col("k") * F.col("k") - 1)))).alias("statistic"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), a * F.lit(math.inf))  # noqa: E731  as floating point divides by 0
+    square = F.col("m2") - ratio(F.col("m1") * F.col("m1"), F.col("k"))
+    raw = ratio(F.lit(12.0) * F.col("n"), F.col("k") * (F.col("k") + 1)) * square
+    known = 1 - ratio(F.col("ties"), F.col("n") * F.col("k") * (F.col("k") * F.col("k") - 1))
+    return s.select(F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n"), ratio(raw, known).alias("statistic"))
 
 
 def win_rates(scores: DataFrame, block: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabveil.functions import normal_cdf, normal_quantile
-from tabveil.operators import distances
+from tabveil.operators import distances, ranking
 from tabveil.operators.encoders import MarginalNormal, normal_distances
 
 
@@ -69,3 +69,12 @@ def test_imputation_votes(spark):
     f1 = np.mean([max("abc", key=lambda c: (share[i, c], -ord(c))) == t for i, t in truth if t])
     got = distances.imputation_auc(spark.createDataFrame(votes, "row int, v string"), spark.createDataFrame(truth, "row int, v string"), "row", "v").first()
     assert (got.micro_f1, got.auc) == (pytest.approx(f1), pytest.approx(auc))
+
+
+def test_friedman_of_tied_models_is_not_a_number(spark):
+    make = lambda rows: spark.createDataFrame(rows, "block int, model string, value double")
+    told = lambda rows: tuple(ranking.friedman(make(rows), ["block"]).first())
+    assert str(told([(b, m, 0.05) for b in range(3) for m in "xyz"])) == "(3, 3, nan)"
+    assert str(told([(b, "x", 0.05 * b) for b in range(3)])) == "(1, 3, nan)"
+    assert told([]) == (0, 0, None)
+    assert told([(b, m, float(v)) for b in range(3) for v, m in enumerate("xyz")]) == (3, 3, pytest.approx(6.0))
