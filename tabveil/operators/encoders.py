@@ -197,7 +197,7 @@ def leave_one_out(train: DataFrame, other: DataFrame, category: str, target: str
 
 @dataclass
 class QuantileNormal(Encoder):
-    """Values by the normal quantile of their rank, linear between at most `most` train quantiles; clipped at 1e-7 from 0 and 1."""
+    """Values by the normal quantile of their rank, linear between at most `most` train quantiles; clipped at 1e-7 from 0 and 1, up to a billionth, which tells the ends from what is clipped."""
 
     columns: list[str]
     most: int = 1000
@@ -223,6 +223,10 @@ def column_quantiles(df: DataFrame, columns: list[str], shares: list[float]) ->
     return {r.column: r.q for r in quantiles(long, ["column"], "v", shares).select("_g.column", "q").collect()}
 
 
+#: Ranks nearer than CLIP to 0 or 1 get its score, less up to STEP; those that aren't the ends are taken for at least LEAST of CLIP.
+CLIP, STEP, LEAST = 1e-7, 1e-9, 2e-5
+
+
 @lru_cache(maxsize=1)
 def _grid() -> tuple[np.ndarray, np.ndarray]:
     """Normal quantiles at a fine grid of probabilities, denser at the ends."""
@@ -240,9 +244,14 @@ def to_normal(edges: list[float]):
     def place(v: pd.Series) -> pd.Series:
         a = v.to_numpy(dtype=float, na_value=np.nan)
         lo, hi = np.interp(a, x, share), 1 - np.interp(-a, -x[::-1], share)  # the middle of a flat stretch
-        return pd.Series(np.clip((lo + hi) / 2, 1e-7, 1 - 1e-7)).where(~np.isnan(a), None)
+        return pd.Series(np.where((a <= x[0]) | (a >= x[-1]), (lo + hi) / 2, np.clip((lo + hi) / 2, LEAST * CLIP, 1 - LEAST * CLIP))).where(~np.isnan(a), None)
+
+    def score(v: Column) -> Column:
+        p = place(v)
+        below, above = (F.greatest(1 - q / CLIP, F.lit(0.0)) for q in (p, 1 - p))  # 0 unless clipped, 1 at the end
+        return F.when(p.isNotNull(), normal_quantile(F.greatest(F.least(p, F.lit(1 - CLIP)), F.lit(CLIP))) + (above - below) * STEP)
 
-    return lambda v: normal_quantile(place(v))
+    return score
 
 
 def from_normal(edges: list[float]):
@@ -252,7 +261,10 @@ def from_normal(edges: list[float]):
     def run(v: pd.Series) -> pd.Series:
         p, z = _grid()
         a = v.to_numpy(dtype=float, na_value=np.nan)
-        at = np.where(a <= z[0], 0.0, np.where(a >= z[-1], 1.0, np.interp(a, z, p)))  # what was clipped goes back to the ends
+        at = np.interp(a, z, p)
+        for end, beyond in ((0, z[0] - a), (1, a - z[-1])):  # what was clipped lies within STEP, the ends at its edge
+            left = np.clip(1 - beyond / STEP, 0, 1)
+            at = np.where(beyond >= 0, np.abs(end - np.where(left < LEAST / 2, 0, left * CLIP)), at)
         return pd.Series(np.interp(at, share, x)).where(~np.isnan(a), None)
 
     return run

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabveil.functions import normal_cdf, normal_quantile
 from tabveil.operators import distances, ranking
-from tabveil.operators.encoders import MarginalNormal, normal_distances
+from tabveil.operators.encoders import MarginalNormal, QuantileNormal, normal_distances
 
 
 def test_normal_functions(spark):
@@ -71,6 +71,19 @@ def test_imputation_votes(spark):
     assert (got.micro_f1, got.auc) == (pytest.approx(f1), pytest.approx(auc))
 
 
+def test_what_is_clipped_goes_back_beside_the_ends(spark):
+    v = [0.0, 1e-5, 2e-5, *map(float, range(1, 999)), 999.0 - 3e-5, 999.0 - 1e-5, 999.0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)] + [(-1, None)], "id int, v double")
+    e = QuantileNormal(["v"]).fit(df)
+    e.edges["v"] = [float(i) for i in range(1000)]
+    z = e.transform(df)
+    got = dict(z.select("id", "v").collect())
+    assert {round(got[i], 7) for i in (0, 1, 2)} == {round(NormalDist().inv_cdf(1e-7), 7)} and got[0] < got[1] < got[2] < got[3]
+    back = dict(e.inverse(z).select("id", "v").collect())
+    assert back.pop(-1) is None and back == pytest.approx(dict(enumerate(v)), abs=1e-4)
+    assert back[0] == 0.0 and back[len(v) - 1] == 999.0 and all(0 < back[i] < 999 for i in back if 0 < i < len(v) - 1)
+
+
 def test_friedman_of_tied_models_is_not_a_number(spark):
     make = lambda rows: spark.createDataFrame(rows, "block int, model string, value double")
     told = lambda rows: tuple(ranking.friedman(make(rows), ["block"]).first())
