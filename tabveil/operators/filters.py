@@ -25,14 +25,18 @@ def constraint_report(df: DataFrame, rules: list[str], lenient: bool = False) ->
     return names.join(counts, "n", "left").select("rule", F.coalesce("dropped", F.lit(0)).alias("dropped"))
 
 
-def top_up(df: DataFrame, rules: list[str], n: int, order: list[Column], tries: int = 100, most: int = 10) -> DataFrame:
-    """The first n valid rows among the candidates that were asked for, with shortfall, what is missing to n.
+def top_up(df: DataFrame, rules: list[str], n: int, order: list[Column], tries: int | None = None, most: int = 10) -> DataFrame:
+    """The first n valid rows in the order, with shortfall, what is missing to n: candidates are asked for to the end of the table.
 
-    Candidates come in order, range by range: the first range has n rows, each other as many as the share of valid
-    rows so far says are needed, but at most `most` * n; it ends with n valid rows, after `tries` ranges or at the end
-    of the table. The table is numbered once, over range partitions; a range is a filter on the numbers.
+    With `tries` there is a limit to the candidates. They come in order, range by range: the first range has n rows,
+    each other as many as the share of valid rows so far says are needed, but at most `most` * n; it ends with n valid
+    rows, after `tries` ranges or at the end of the table. The table is then numbered once, over range partitions; a
+    range is a filter on the numbers.
     """
     valid = reduce(lambda a, b: a & b, [F.coalesce(F.expr(r), F.lit(False)) for r in rules], F.lit(True))
+    if tries is None:
+        found = materialise(df.where(valid).orderBy(*order).limit(n), "topped-up")
+        return found.withColumn("shortfall", F.lit(n - found.count()).cast("long"))
     pool = materialise(numbered(df.withColumn("_valid", valid), order, "_i"), "pool")
     size, at, got = pool.count(), 0, 0
     for _ in range(tries):

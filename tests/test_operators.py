@@ -151,6 +151,11 @@ def test_top_up_goes_on_to_valid_rows_at_the_end(spark):
     assert take(5, tries=3) == [] and filters.top_up(df.limit(0), ["ok"], 5, [F.col("id")]).collect() == []
 
 
+def test_top_up_reaches_the_end_of_a_long_table(spark):
+    df = spark.range(20_000, numPartitions=8).select("id", (F.col("id") >= 19_996).alias("ok"))
+    assert [tuple(r) for r in filters.top_up(df, ["ok"], 5, [F.col("id")]).select("id", "shortfall").orderBy("id").collect()] == [(i, 1) for i in range(19_996, 20_000)]
+
+
 def test_attribution_of_the_nearest_key(spark):
     real = spark.createDataFrame([("x|y", "z", "s")], "a string, b string, secret string")
     fake = spark.createDataFrame([("x", "y|z", "s"), ("x|y", "q", "t"), ("x|y", "r", "s"), ("w", "z", "s"), ("w", "z", "s")], real.schema)
