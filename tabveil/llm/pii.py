@@ -30,8 +30,6 @@ FORMATS["phone"] = FORMATS["phone"].replace("OTHER", "|".join(OTHER))
 ANY = "|".join(FORMATS.values())
 #: How card numbers are grouped; a part of a longer run of digits counts only in these shapes.
 CARD_SHAPES = "^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
-#: So often the rest of a value that holds others is searched again.
-PASSES = 3
 LOWER_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 HEX = "0123456789abcdef"
 EPOCH, SIDE = "1000-01-01", 855  # dates from 1000 on: SIDE * SIDE days, to the year 3001
@@ -265,8 +263,11 @@ def pseudonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFr
     some = text.rlike("[0-9@]")
     some = F.when(some, pieces(text)).otherwise(F.array().cast("array<struct<gap:string,value:string>>"))
     x = docs.drop("n_found").withColumn("_found", some)
-    again = F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), F.col("_found"), lambda found, _: F.flatten(F.transform(found, narrowed)))
-    x = x.withColumn("_found", F.when(F.exists("_found", lambda v: unsure(v["value"])), again).otherwise(F.col("_found")))
+    some_unsure = lambda found: F.exists(found, lambda v: unsure(v["value"]))
+    # what is left of a value has fewer groups after each search, so as many searches as the longest has groups end it
+    groups = F.array_max(F.transform("_found", lambda v: F.size(F.split(v["value"], "[ -]"))))
+    again = F.aggregate(F.sequence(F.lit(1), groups), F.col("_found"), lambda found, _: F.when(some_unsure(found), F.flatten(F.transform(found, narrowed))).otherwise(found))
+    x = x.withColumn("_found", F.when(some_unsure(F.col("_found")), again).otherwise(F.col("_found")))
     x = x.withColumn("_new", F.transform("_found", lambda v: pseudonym(key, v["value"])))
     changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a["value"] != b), lambda c: c))
     new = F.concat_ws("", F.flatten(F.zip_with("_found", "_new", lambda g, v: F.array(g["gap"], v))))

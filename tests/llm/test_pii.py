@@ -110,3 +110,17 @@ def test_against_brute_force(spark):
         want.append(" ".join(x for p in zip(words, [*new, ""]) for x in p))
     got = one(spark, *rows, *rows)
     assert [x.text for x in got] == want * 2
+
+
+def test_many_cards_in_one_row_of_groups(spark):
+    r = random.Random(8)
+
+    def card():
+        d = "4" + "".join(r.choice("0123456789") for _ in range(14))
+        d += str(-luhn(d + "0") % 10)
+        return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    cards = [[card() for _ in range(4)] for _ in range(5)]
+    got = one(spark, *(f"paid {' '.join(c)} 1111 1111 1113 so far" for c in cards), f"odd {' '.join(['1112'] * 8)} {cards[0][0]} 7 8 9")
+    assert [x.n_found for x in got] == [4] * 5 + [1]
+    assert not any(c in x.text for x, mine in zip(got, [*cards, cards[0][:1]], strict=True) for c in mine)
