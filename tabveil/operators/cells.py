@@ -107,6 +107,29 @@ class Cells:
         order = np.lexsort((leaf, row))
         return row[order], leaf[order]
 
+    def inside(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """sure, row, leaf: how many rows lie within the radius of each row of x by the boxes alone, and the leaves whose boxes leave it open."""
+        total = np.concatenate([np.zeros(self.leaves, np.int64), self.count])
+        for n in range(self.leaves - 1, 0, -1):
+            total[n] = total[2 * n] + total[2 * n + 1]
+        sure, rows, leaves, todo = np.zeros(len(x), np.int64), [], [], [(1, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            if not total[node]:
+                continue
+            at = at[self.near(node, x[at], 1.0, "l2") <= radius * (1 + 1e-9)]
+            whole = self.far(node, x[at], 1.0, "l2") <= radius * (1 - 1e-9)
+            sure[at[whole]] += total[node]
+            at = at[~whole]
+            if len(at) and node >= self.leaves:
+                rows.append(at)
+                leaves.append(np.full(len(at), node - self.leaves))
+            elif len(at):
+                todo += [(2 * node, at), (2 * node + 1, at)]
+        row, leaf = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, leaves))
+        order = np.lexsort((leaf, row))
+        return sure, row[order], leaf[order]
+
     def enough(self, x: np.ndarray, n: int, weight: np.ndarray | float = 1.0, metric: str = "l2") -> np.ndarray:
         """Radii within which n rows lie for sure, infinite where there are fewer."""
         nodes = self.leaves + np.flatnonzero(self.count)

@@ -88,6 +88,39 @@ def kernel_density(points: DataFrame, data: DataFrame, columns: list[str], id_co
     return total.groupBy("id").agg((F.sum("part") / (n * unit)).alias("density"))
 
 
+def count_within(points: DataFrame, data: DataFrame, columns: list[str], radius: float, id_column: str = "id") -> DataFrame:
+    """id, n: how many of data's rows lie within the radius of each point, the edge included.
+
+    Cells inside the ball count as they are; the point meets the rows of those that the edge passes through. Rows with
+    NULL or NaN take no part; ids differ within each table.
+    """
+    width = len(columns)
+    cells, placed = C.fit_cells(C.numeric_rows(data, columns, id_column), width)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sure, row, leaf = cells.inside(C.points_of(b.column(1), width), radius)
+            edge = np.searchsorted(row, np.arange(len(sure) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure), pa.ListArray.from_arrays(pa.array(edge), pa.array(leaf.astype(np.int32)))], ["id", "x", "sure", "cells"])
+
+    walked = materialise(C.numeric_rows(points, columns, id_column).mapInArrow(walk, "id long, x array<double>, sure long, cells array<int>"), "walked")
+
+    def add(p: pa.Table, q: pa.Table) -> pa.Table:
+        x, y = (C.points_of(t.column("x"), width) for t in (p, q))
+        out = np.zeros(len(x), np.int64)
+        for lo in range(0, len(x) if len(y) else 0, 256):
+            d = np.zeros((len(x[lo : lo + 256]), len(y)))
+            for i in range(width):
+                d += (x[lo : lo + 256, i, None] - y[:, i]) ** 2
+            out[lo : lo + 256] = (np.sqrt(d) <= radius).sum(axis=1)
+        return pa.table([p.column("id"), pa.array(out)], names=["id", "part"])
+
+    sums, _ = C.meet(materialise(walked.select("id", "x", F.explode("cells").alias("cell")), "asked"), placed, cells, add, "id long, part long", [F.col("id")])
+    total = walked.select("id", F.col("sure").alias("part"))
+    total = total if sums is None else total.unionByName(sums)
+    return total.groupBy("id").agg(F.sum("part").alias("n"))
+
+
 def normal_density(points: DataFrame, data: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:
     """id, density: of the independent normals fitted on data, over those of the columns that take at least ten values there."""
     kinds = data.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tabveil.functions import unit_hash
 from tabveil.operators.codes import quantiles, running
-from tabveil.operators.distances import within
 from tabveil.operators.cells import numeric_rows
 from tabveil.operators.neighbours import k_nearest, search
 from tabveil.operators.replicates import replicate_lists
@@ -300,8 +299,10 @@ def membership(train: DataFrame, hold: DataFrame, synthetic: DataFrame, columns:
 
 
 def kernel_membership(points: DataFrame, synthetic: DataFrame, columns: list[str], radius: float) -> DataFrame:
-    """id, density: how many synthetic rows lie within the radius of each point (id, columns), by a range join on the first column."""
-    hits = within(points.withColumn("r", F.lit(radius)), synthetic, columns).groupBy("id").agg(F.count("*").alias("density"))
+    """id, density: how many synthetic rows lie within the radius of each point (id, columns); 0 where a column is NULL. Whole cells of a kd tree are counted, not joined."""
+    from tabveil.operators.densities import count_within
+
+    hits = count_within(points, synthetic, columns, radius).select("id", F.col("n").alias("density"))
     return points.select("id").join(hits, "id", "left").select("id", F.coalesce("density", F.lit(0)).alias("density"))
 
 

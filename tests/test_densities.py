@@ -56,3 +56,19 @@ def test_members_that_were_copied_are_found(spark):
         assert x.auc > 0.5 and 0 <= x.accuracy <= 1
     with pytest.raises(ValueError):
         densities.density_membership(train, hold, near, ["c0", "c1"], "other")
+
+
+def test_counts_within_a_radius_meet_few_rows(spark, monkeypatch):
+    from tabveil.operators import cells, privacy
+
+    r = np.random.default_rng(6)
+    table = lambda v: spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(v)], "id long, a double, b double")
+    near, far = np.round(r.normal(size=(60, 2)) * 50), np.round(r.normal(size=(4000, 2)) * 50)
+    asked, meet = [], cells.meet
+    monkeypatch.setattr(cells, "meet", lambda q, *a, **k: asked.append(q.count()) or meet(q, *a, **k))
+    monkeypatch.setattr(cells, "LEAF_ROWS", 16)
+    points = table(near).unionByName(spark.createDataFrame([(60, None, 0.0)], "id long, a double, b double"))
+    got = dict(privacy.kernel_membership(points, table(far), ["a", "b"], 75.0).collect())
+    assert got == {60: 0, **{i: int((np.sqrt(((far - p) ** 2).sum(axis=1)) <= 75).sum()) for i, p in enumerate(near)}}
+    assert asked and asked[0] < 60 * 256 / 2  # most of the 256 cells lie inside or outside
+    assert {r.density for r in privacy.kernel_membership(points, table(far).limit(0), ["a", "b"], 75.0).collect()} == {0}
