@@ -6,11 +6,16 @@ The table is scanned once whatever the number of samples; rows are summed up by
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.functions import unit_hash
+from tabveil.session import ship
 
 REAL = -1
 
@@ -23,8 +28,8 @@ def replicate_lists(df: DataFrame, key: str, rounds: int, share: float, side: in
     digest = lambda n: F.md5(F.concat_ws(":", F.lit(str(side)), F.lit(str(n)), F.col(key).cast("string")))
     digests = F.array(*[digest(n) for n in range((rounds + 3) // 4)])
     cut = int(share * 2**32)
-    number = lambda d, j: F.conv(F.substr(d, (8 * j + 1).cast("int"), F.lit(8)), 16, 10).cast("long")
-    drawn = F.transform("_digests", lambda d, n: F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.when(number(d, j) < cut, (4 * n + j).cast("int"))), lambda r: r < rounds))
+    least = f"{cut:08x}" if cut < 2**32 else "g"  # hex numbers of one length are in order as text
+    drawn = F.transform("_digests", lambda d, n: F.filter(F.array(*[F.when(F.substring(d, 8 * j + 1, 8) < least, (4 * n + j).cast("int")) for j in range(4)]), lambda r: r < rounds))
     return df.withColumn("_digests", digests).withColumn("reps", F.flatten(drawn)).drop("_digests")
 
 
@@ -44,24 +49,67 @@ def over_replicates(df: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
 
 
 def statistics(df: DataFrame, discrete: list[str], continuous: list[str]) -> DataFrame:
-    """rep, column, value, n, r, varies of df (with reps): counts of the discrete columns' known values; and, where column is NULL, the correlations of all pairs of continuous columns and whether each varies, over rows known in all of them."""
-    pairs = [(a, b) for i, a in enumerate(continuous) for b in continuous[i + 1 :]]
-    known = F.forall(F.array(*[F.col(c).cast("double") for c in continuous]), lambda v: v.isNotNull() & ~F.isnan(v)) if continuous else F.lit(True)
-    entry = lambda c, v: F.struct(F.lit(c).cast("string").alias("column"), v.cast("string").alias("value"))
-    entries = F.array(entry(None, F.lit(None)), *[entry(c, F.col(c)) for c in discrete])
-    x = df.select(F.explode("reps").alias("rep"), known.alias("_known"), entries.alias("_e"), *continuous).select("rep", "_known", F.explode("_e").alias("_e"), *continuous)
-    number = lambda c: F.when(F.col("_known") & F.col("_e.column").isNull(), F.col(c).cast("double"))
-    clean = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
-    r = F.array(*[clean(F.corr(number(a), number(b))) for a, b in pairs]) if pairs else F.array().cast("array<double>")
-    varies = F.array(*[(F.coalesce(F.stddev_pop(number(c)), F.lit(0.0)) > 0).cast("int") for c in continuous]) if continuous else F.array().cast("array<int>")
-    x = x.where("_e.column IS NULL OR _e.value IS NOT NULL")
-    return x.groupBy("rep", F.col("_e.column").alias("column"), F.col("_e.value").alias("value")).agg(F.count("*").alias("n"), r.alias("r"), varies.alias("varies"))
+    """rep, column, value, n, r, varies of df (with reps): counts of the discrete columns' known values; and, where column is NULL, the correlations of all pairs of continuous columns and whether each varies, over rows known in all of them.
+
+    Rows aren't multiplied by their samples: each batch of them is summed up by sample and value, and Spark adds up what
+    the batches have. Moments are taken about the table's means.
+    """
+    ship(df.sparkSession)
+    pairs = [(i, j) for i in range(len(continuous)) for j in range(i, len(continuous))]
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    got = df.agg(F.lit(0), *[F.avg(number(c)) for c in continuous]).first()
+    pivot = [v or 0.0 for v in got[1:]]
+    names = ["rep", "column", "value", "n", "known", "sums", "products", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            row, rep = np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            width = int(rep.max(initial=-1)) + 2  # samples count from -1
+            x = [pc.fill_null(b.column(1 + len(discrete) + i), math.nan).to_numpy(zero_copy_only=False) - m for i, m in enumerate(pivot)]
+            known = ~np.isnan(x).any(axis=0) if x else np.ones(len(size), bool)
+            n = np.bincount(rep + 1, minlength=width)
+            some = np.flatnonzero(n)
+            use = known[row]
+            row_, rep_ = row[use], rep[use]
+            order = np.argsort(rep_.astype(np.int32), kind="stable")
+            row_, rep_ = row_[order], rep_[order]
+            first = np.searchsorted(rep_, some - 1)
+            here = np.bincount(rep_ + 1, minlength=width)[some]
+
+            def by_rep(f: np.ufunc, v: np.ndarray, empty: float) -> np.ndarray:
+                out = np.full(len(some), float(empty))
+                full = here > 0
+                out[full] = f.reduceat(v[row_], first[full]) if full.any() else 0
+                return out
+
+            lines = lambda v: pa.array([r.tolist() for r in np.array(v).reshape(len(v), len(some)).T], pa.list_(pa.float64()))
+            nothing = pa.nulls(len(some), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array((some - 1).astype(np.int32)), nothing, nothing, pa.array(n[some]), pa.array(here), lines([by_rep(np.add, v, 0) for v in x]), lines([by_rep(np.add, x[i] * x[j], 0) for i, j in pairs]),
+                                              lines([by_rep(np.minimum, v, math.inf) for v in x]), lines([by_rep(np.maximum, v, -math.inf) for v in x])], names)
+            for i, c in enumerate(discrete):
+                codes = b.column(1 + i).dictionary_encode()
+                code = pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                key, times = np.unique(code[code >= 0] * width + rep[code >= 0] + 1, return_counts=True)
+                none = pa.nulls(len(key), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array((key % width - 1).astype(np.int32)), pa.array([c] * len(key), pa.string()), codes.dictionary.take(pa.array(key // width)), pa.array(times), pa.array(times), none, none, none, none], names)
+
+    x = df.select("reps", *[F.col(c).cast("string").alias(f"d{i}") for i, c in enumerate(discrete)], *[number(c).alias(f"x{i}") for i, c in enumerate(continuous)])
+    x = x.mapInArrow(run, "rep int, column string, value string, n long, known long, sums array<double>, products array<double>, low array<double>, high array<double>")
+    each = lambda f, c, size: F.array(*[f(F.get(c, i)) for i in range(size)]) if size else F.array().cast("array<double>")
+    width = len(continuous)
+    x = x.groupBy("rep", "column", "value").agg(F.sum("n").alias("n"), F.sum("known").alias("_n"), each(F.sum, "sums", width).alias("_s"), each(F.sum, "products", len(pairs)).alias("_p"), each(F.min, "low", width).alias("_lo"), each(F.max, "high", width).alias("_hi"))
+    varies = [F.coalesce(F.get("_lo", i) < F.get("_hi", i), F.lit(False)) for i in range(width)]
+    moment = lambda i, j: F.get("_p", pairs.index((i, j))) - F.try_divide(F.get("_s", i) * F.get("_s", j), F.col("_n"))
+    r = [F.coalesce(F.when(varies[i] & varies[j], F.try_divide(moment(i, j), F.sqrt(moment(i, i) * moment(j, j)))), F.lit(0.0)) for i, j in pairs if i < j]
+    return x.select("rep", "column", "value", "n", (F.array(*r) if r else F.array().cast("array<double>")).alias("r"), (F.array(*[v.cast("int") for v in varies]) if varies else F.array().cast("array<int>")).alias("varies"))
 
 
 def sample_scores(real: DataFrame, samples: DataFrame, rounds: int, discrete: list[str], continuous: list[str], weight: float = 10.0) -> DataFrame:
     """sample, value, covered: for each of the rounds of samples (with reps) the correlation distance from the real table plus `weight` times the mean discrete distance of shares, and whether the sample has as many distinct values in each discrete column.
 
-    An empty sample has shares and correlations of 0. All statistics come from one scan of each table.
+    An empty sample has shares and correlations of 0. All statistics come from one scan of each table, and its means from another.
     """
     spark = real.sparkSession
     a = statistics(real.withColumn("reps", F.array(F.lit(REAL))), discrete, continuous)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,21 @@ def test_swapped_scores(spark):
     counts = spark.createDataFrame([(0.0, 0.0, 6), (0.0, 1.0, 2), (1.0, 1.0, 3)], "y double, g double, n long")
     plain, swapped = utility.classification_scores(counts).first(), utility.classification_scores(counts, swapped=True).first()
     assert plain.balanced_accuracy == pytest.approx((6 / 8 + 1) / 2) and swapped.balanced_accuracy == pytest.approx((1 + 3 / 5) / 2)
+
+
+def test_samples_are_summed_up_without_a_row_for_each(spark):
+    from tabveil.operators import replicates
+
+    r = np.random.default_rng(3)
+    rows = [(i, None if i % 9 == 0 else "ab"[i % 2], float(r.normal(1e6)), None if i % 7 == 0 else float(r.normal())) for i in range(300)]
+    df = replicates.replicate_lists(spark.createDataFrame(rows, "id long, c string, x double, y double").repartition(3), "id", 6, 0.4)
+    reps = {x.id: x.reps for x in df.collect()}
+    told = replicates.statistics(df, ["c"], ["x", "y"])
+    assert "Generate" not in told._jdf.queryExecution().toString()
+    got = {(x.rep, x.column, x.value): (x.n, list(x.r), list(x.varies)) for x in told.collect()}
+    for k in range(6):
+        mine = [v for v in rows if k in reps[v[0]]]
+        n, (corr,), varies = got[k, None, None]
+        assert n == len(mine) and varies == [1, 1]
+        assert corr == pytest.approx(np.corrcoef(*np.array([v[2:] for v in mine if v[3] is not None]).T)[0, 1], rel=1e-9)
+        assert {v: got[k, "c", v][0] for v in "ab"} == {v: sum(m[1] == v for m in mine) for v in "ab"}
