@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from tabveil.llm.quality import classify, fit
+from tabveil.llm.quality import classify, fit, fit_all
 
 
 def texts(n, seed=3):
@@ -52,3 +52,14 @@ def test_repeated_ids_are_learned_from_in_a_defined_order(spark, monkeypatch):
     labels = spark.createDataFrame([(i, q) for i, q in {i: q for i, _, q in rows}.items()], "doc_id long, quality int")
     one, two = (sorted((r.doc_id, r.score) for r in classify(d, labels).collect()) for d in (docs.repartition(1), docs.repartition(5, "text")))
     assert one == two
+
+
+def test_all_labelled_rows_and_pairs_are_learned_from(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(400, 3)) * [1, 2, 0.3]
+    y = (x @ np.array([2.0, -1.0, 0.5]) + r.logistic(size=400) > 0.5).astype(int)
+    rows = spark.createDataFrame([(v.tolist(), int(q)) for v, q in zip(x, y, strict=True)], "features array<double>, quality int").repartition(3)
+    (w, cut), (want, want_cut) = fit_all(rows, 3), fit(x, y)
+    assert np.abs(w - want).max() < 1e-6 and abs(cut - want_cut) < 1e-6
+    once = fit_all(rows.unionByName(rows.limit(0)).repartition(5), 3)
+    assert np.array_equal(once[0], w) and once[1] == cut
