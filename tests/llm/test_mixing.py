@@ -86,6 +86,17 @@ def test_probabilities_of_all_next_symbols_add_up_to_one():
     assert first <= mixing.TOP
 
 
+def test_every_decision_of_a_word_is_mixed():
+    """A rare word, deep in the tree, whose neighbours the text never has costs less each time, down to its last decision."""
+    texts = [" ".join(f"w{i}" for i in range(2000))]
+    model, _, _ = model_of(texts)
+    counts = np.concatenate([np.ones(2000, np.int64), [0, 1]])
+    assert np.array_equal(np.diff(model.first)[: model.bytes], np.diff(mixing.huffman(counts)[0]))
+    symbol = np.full(2000, 7, np.int32)
+    s = {"symbol": symbol, "text": np.zeros(2000, np.int32), "first": np.array([0, 2000]), "place": np.arange(2000), "context": np.zeros(2000, np.uint64)}
+    assert mixing.code_lengths(s, model)[0] < 0.5 * 2000  # five bits that aren't mixed would take 3.5 nats each time
+
+
 @pytest.mark.parametrize("piece", [1 << 20, 3000])
 def test_copies_score_apart_and_alone_the_text_counts(spark, monkeypatch, piece):
     monkeypatch.setattr(mixing, "PIECE", piece)
