@@ -35,6 +35,22 @@ def test_densities_equal_direct_sums(spark, monkeypatch, width, tolerance):
         assert got[5000 + i] == pytest.approx(v, rel=max(tolerance, 1e-8), abs=1e-290)
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_sums_by_series_meet_no_rows_and_outliers_do(spark, monkeypatch, width):
+    r = np.random.default_rng(8 + width)
+    data = np.concatenate([r.uniform(-3, 3, (3000, width)), np.full((500, width), 1.0)])
+    near, far = r.uniform(-3, 3, (200, width)), np.array([[40.0] * width, [-9.0] * width])
+    asked, meet = [], cells.meet
+    monkeypatch.setattr(cells, "meet", lambda q, *a, **k: asked.append(q.select("id").distinct().count()) or meet(q, *a, **k))
+    columns = [f"c{n}" for n in range(width)]
+    get = lambda points: [v for _, v in sorted((x.id, x.density) for x in densities.kernel_density(table(spark, points), table(spark, data), columns).collect())]
+    assert get(near) == pytest.approx(direct(near, data).tolist(), rel=1e-9) and asked == []
+    both = np.concatenate([near, far])
+    assert get(both) == pytest.approx(direct(both, data).tolist(), rel=1e-8, abs=1e-290) and max(asked, default=0) <= len(far)
+    monkeypatch.setattr(densities, "NUMBERS", densities.POWERS**width)  # a grid too large for the driver: all by cells
+    assert get(both) == pytest.approx(direct(both, data).tolist(), rel=1e-8, abs=1e-290) and asked
+
+
 def test_singular_tables_are_refused_and_nulls_left_out(spark):
     r = np.random.default_rng(3)
     df = table(spark, r.normal(size=(50, 2)))
