@@ -82,14 +82,14 @@ def running(df: DataFrame, group: str, order: str, sums: list[str], buckets: int
     return x.withColumns({**{f"{s}_upto": F.col(f"{s}_upto") + F.col(f"_{s}") for s in sums}, "previous": F.coalesce("previous", "_last")}).select(*df.columns, *[f"{s}_upto" for s in sums], "previous")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], cells: int = 1024) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], cells: int = 1024, times: str | None = None) -> DataFrame:
     """_g (a struct with the keys), q: the exact quantiles of each group's known values, linear between neighbouring ranks.
 
-    Equal values are counted first. Running counts over range partitions give the ranks that each value covers; the
+    Equal values are counted first; times names a column that says how often a row's value is there. Running counts over range partitions give the ranks that each value covers; the
     wanted ranks meet them by cells of ranks, so neither a task nor a buffer holds a whole group. A group without
     known values has no row.
     """
-    x = df.where(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0).alias("_all"), *keys).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    x = df.where(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0).alias("_all"), *keys).alias("_g"), F.col(value).cast("double").alias("_v")).agg((F.count("*") if times is None else F.sum(times)).alias("n"))
     x = running(x, "_g", "_v", ["n"])
     width = F.ceil(F.col("_total") / cells)
     total = x.groupBy("_g").agg(F.max("n_upto").alias("_total"))

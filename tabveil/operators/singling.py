@@ -2,7 +2,8 @@
 
 A predicate is a conjunction of atoms on columns: at most, at least or equal to a number, equal to a text, or null. Any
 number of them is counted in one scan: each batch of rows sorts its columns once, an atom is then a slice of a sorted
-column, and only the rows in a predicate's shortest slice are looked at.
+column, and only the rows in a predicate's shortest slice are looked at. As a predicate singles out if it meets one row,
+a task doesn't look for it any more once it has met two.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tabveil.session import materialise, ship
 ATOM = "struct<column:string,op:string,num:double,txt:string>"
 #: Predicates in one broadcast; more are counted in further scans.
 PREDICATES = 50_000
+#: Rows that are sorted at a time.
+ROWS_AT_ONCE = 100_000
 
 
 def typed(df: DataFrame, numbers: list[str], texts: list[str], *others: str) -> DataFrame:
@@ -72,8 +75,21 @@ class Batch:
         return v <= at if op == "<=" else v >= at if op == ">=" else v == at
 
 
-def count_matches(df: DataFrame, predicates: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
-    """pid, n: how many rows of df meet each predicate (pid, atoms), of those that any row meets.
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first batch, then batches of some ROWS_AT_ONCE rows, as every predicate takes its time once a batch."""
+    held, size = [], 0
+    for k, b in enumerate(batches):
+        held.append(b)
+        size += b.num_rows
+        if k == 0 or size >= ROWS_AT_ONCE:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def count_matches(df: DataFrame, predicates: DataFrame, numbers: list[str], texts: list[str], most: int | None = None) -> DataFrame:
+    """pid, n: how many rows of df meet each predicate (pid, atoms), of those that any row meets; with most, n is right below it and at least most where there are as many.
 
     The predicates come to the driver and are sent out PREDICATES at a time, so their number is to be bounded by what
     made them. A predicate without atoms is met by no row; NULL meets only the atom null.
@@ -87,12 +103,16 @@ def count_matches(df: DataFrame, predicates: DataFrame, numbers: list[str], text
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             wanted = sent.value
             n = np.zeros(len(wanted), np.int64)
-            for b in batches:
-                x, slices = Batch(b, numbers, texts), {}
-                for i, (_, atoms) in enumerate(wanted):
-                    if not atoms:
-                        continue
-                    found = []
+            open_ = [i for i, (_, atoms) in enumerate(wanted) if atoms]
+            for b in gathered(batches):
+                if most is not None:
+                    open_ = [i for i in open_ if n[i] < most]
+                if not open_:
+                    continue
+                used = {a[0] for i in open_ for a in wanted[i][1]}
+                x, slices = Batch(b, [c for c in numbers if c in used], [c for c in texts if c in used]), {}
+                for i in open_:
+                    atoms, found = wanted[i][1], []
                     for a in atoms:
                         if a not in slices:
                             slices[a] = x.rows(*a)
@@ -113,14 +133,23 @@ def count_matches(df: DataFrame, predicates: DataFrame, numbers: list[str], text
 
 def univariate(synthetic: DataFrame, numbers: list[str], texts: list[str], attacks: int) -> DataFrame:
     """pid, atoms: predicates on one column that one synthetic row meets: its lone values, its ends, a lone NULL; `attacks` of them in hash order."""
-    x = typed(synthetic, numbers, texts)
+    return lone(value_counts(synthetic, numbers, texts), attacks)
+
+
+def value_counts(df: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
+    """column, num, txt, n: how many rows have each value of each column."""
+    x = typed(df, numbers, texts)
     each = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(c) if c in numbers else F.lit(None)).cast("double").alias("num"), (F.col(c) if c in texts else F.lit(None)).cast("string").alias("txt")) for c in [*numbers, *texts]])
-    lone = x.select(F.explode(each).alias("v")).groupBy("v.column", "v.num", "v.txt").agg(F.count("*").alias("n"))
-    ends = lone.groupBy("column").agg(F.min("num").alias("low"), F.max("num").alias("high"))
-    lone = lone.where("n = 1").join(F.broadcast(ends), "column")  # a row a column
+    return x.select(F.explode(each).alias("v")).groupBy("v.column", "v.num", "v.txt").agg(F.count("*").alias("n"))
+
+
+def lone(counts: DataFrame, attacks: int) -> DataFrame:
+    """What univariate returns, from the table's counts of values."""
+    ends = counts.groupBy("column").agg(F.min("num").alias("low"), F.max("num").alias("high"))
+    single = counts.where("n = 1").join(F.broadcast(ends), "column")  # a row a column
     known = F.col("num").isNotNull() | F.col("txt").isNotNull()
     ops = F.filter(F.array(F.when(known, "=").otherwise("null"), F.when(F.col("num") == F.col("low"), "<="), F.when(F.col("num") == F.col("high"), ">=")), lambda o: o.isNotNull())
-    found = lone.select("column", "num", "txt", F.explode(ops).alias("op"))
+    found = single.select("column", "num", "txt", F.explode(ops).alias("op"))
     pid = digest(F.col("column"), F.col("op"), F.coalesce(F.col("txt"), F.col("num").cast("string"), F.lit("")))
     return found.select(pid.alias("pid"), F.array(F.struct("column", "op", "num", "txt")).alias("atoms")).orderBy("pid").limit(attacks)
 
@@ -159,27 +188,26 @@ def singling_out_risks(real: DataFrame, control: DataFrame, synthetic: DataFrame
     """n_columns, attacks, success, control, guesses, baseline: for each size of column set, how many predicates that pick out one synthetic row pick out one real row and one control row, and how many random ones one real row.
 
     Sets of one column use lone values and ends; larger ones at most `tries` candidate rows, of which the first
-    `attacks` predicates that one synthetic row meets stay. The synthetic table is scanned once for all candidates,
-    the other two once for all that stay. No more columns are used than there are; ids differ. An empty synthetic table gives no attacks.
+    `attacks` predicates that one synthetic row meets stay. The synthetic table is scanned once for its values, once for the candidate rows and once for all
+    predicates, the other two once for all that stay. No more columns are used than there are; ids differ. An empty synthetic table gives no attacks.
     """
     spark, width = real.sparkSession, len(numbers) + len(texts)
     sizes = sorted({min(n, width) for n in n_columns})
-    x = typed(synthetic, numbers, texts)
-    long = x.unpivot([], numbers, "column", "v") if numbers else None
-    medians = {r["column"]: r.m for r in quantiles(long, ["column"], "v", [0.5]).select("_g.column", F.col("q")[0].alias("m")).collect()} if numbers else {}  # a row a column
+    values = materialise(value_counts(synthetic, numbers, texts), "values")
+    medians = {r["column"]: r.m for r in quantiles(values, ["column"], "num", [0.5], times="n").select("_g.column", F.col("q")[0].alias("m")).collect()} if numbers else {}  # a row a column
     rows = materialise(candidates(synthetic, numbers, texts, id_column, 0, tries), "candidates")
     all_ = None
     for n in sizes:
-        one = univariate(synthetic, numbers, texts, attacks) if n == 1 else multivariate(rows, medians, numbers, texts, n)
+        one = lone(values, attacks) if n == 1 else multivariate(rows, medians, numbers, texts, n)
         for kind, p in (("attack", one), ("guess", random_guesses(rows, numbers, texts, n, attacks))):
             p = p.select("pid", "atoms", F.lit(n).alias("n_columns"), F.lit(kind).alias("kind"))
             all_ = p if all_ is None else all_.unionByName(p)
     all_ = materialise(all_.dropDuplicates(["pid"]), "predicates")  # at most (2 * attacks + tries) a size
-    alone = count_matches(synthetic, all_.where("kind = 'attack'"), numbers, texts).where("n = 1").select("pid")
+    alone = count_matches(synthetic, all_.where("kind = 'attack'"), numbers, texts, most=2).where("n = 1").select("pid")
     place = F.row_number().over(Window.partitionBy("n_columns").orderBy("pid"))
     kept = all_.join(alone, "pid").withColumn("_i", place).where(F.col("_i") <= attacks).drop("_i")
     kept = materialise(kept.unionByName(all_.where("kind = 'guess'")), "attacks")
-    hits = [count_matches(t, kept, numbers, texts).where("n = 1").select("pid", F.lit(1).alias(name)) for t, name in ((real, "r"), (control, "c"))]
+    hits = [count_matches(t, kept, numbers, texts, most=2).where("n = 1").select("pid", F.lit(1).alias(name)) for t, name in ((real, "r"), (control, "c"))]
     told = kept.select("pid", "n_columns", "kind").join(hits[0], "pid", "left").join(hits[1], "pid", "left")
     attack = F.col("kind") == "attack"
     counts = told.groupBy("n_columns").agg(

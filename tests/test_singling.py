@@ -43,6 +43,22 @@ def test_all_predicates_are_counted_in_one_scan(spark, rows, monkeypatch):
     assert got == {p: n for p, a in asked.items() if a and (n := plain(rows, a))}
 
 
+def test_predicates_that_met_two_rows_are_looked_for_no_more(spark, monkeypatch):
+    """The rows after the first ones hold values that only a predicate still looked for would stumble over."""
+    df = spark.createDataFrame([(i, float(i % 2), float(i), "a", str(i)) for i in range(50)], SCHEMA).coalesce(1)
+    asked = {"many": [("n1", "<=", 1.0, None)], "two": [("n2", ">=", 48.0, None)], "one": [("n2", ">=", 49.0, None), ("t1", "=", None, "a")], "no": [("n2", ">=", 50.0, None)], "last": [("t2", "=", None, "49")]}
+    predicates = spark.createDataFrame(list(asked.items()), f"pid string, atoms array<{S.ATOM}>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        for rows_at_once in (1, 20):
+            monkeypatch.setattr(S, "ROWS_AT_ONCE", rows_at_once)
+            got = {x.pid: x.n for x in S.count_matches(df, predicates, ["n1", "n2"], ["t1", "t2"], most=2).collect()}
+            assert got == {"many": 5, "two": 2, "one": 1, "last": 1}  # after the first batch of five, many is left alone
+            assert {x.pid: x.n for x in S.count_matches(df, predicates, ["n1", "n2"], ["t1", "t2"]).collect()} == got | {"many": 50}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_univariate_guesses(spark):
     df = spark.createDataFrame([(1, 1.0, 5.0, "a", None), (2, 1.0, 6.0, "a", "x"), (3, 2.0, 6.0, "b", "x"), (4, 3.0, float("nan"), "a", "y")], SCHEMA)
     got = {tuple(r.atoms[0]) for r in S.univariate(df, ["n1", "n2"], ["t1", "t2"], 50).collect()}
