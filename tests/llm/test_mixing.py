@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabveil.llm import mixing
-from tabveil.llm.bytesarrays import word_hashes, words
+from tabveil.llm.bytesarrays import together, word_hashes, words
 
 
 def make(n, seed=9):
@@ -189,6 +190,114 @@ def test_a_score_depends_on_the_text_alone():
         assert abs(got[1] - alone) < 1e-5 * alone and abs(got[2] - alone) < 1e-5 * alone
 
 
+def one_by_one(s, model):
+    """Nats of each text, by a loop over its blocks and decisions."""
+    out, sigmoid = [], lambda v: 1 / (1 + math.exp(-v))
+    for a, b in zip(s["first"][:-1].tolist(), s["first"][1:].tolist()):
+        slots = 1 << math.ceil(math.log2(4 * max(b - a, 8)))
+        weight, correction, seen, nats = [list(mixing.START) for _ in range(4)], [0.0] * mixing.BUCKETS, {}, 0.0
+        blocks = [range(max(0, n // 2), n) if n > 8 else range(8) for n in (8, 16, 32, 64, 128)] + [range(n, n + 128) for n in range(128, b - a, 128)]
+        for block in blocks:
+            moves, turns, told = {}, {}, []
+            for i in block:
+                if i >= b - a:
+                    continue
+                symbol, context = int(s["symbol"][a + i]), int(s["context"][a + i])
+                for level, k in enumerate(range(model.first[symbol], model.first[symbol + 1])):
+                    node, bit = int(model.nodes[k]), int(model.bits[k])
+                    gate = 2 if symbol >= model.flags else 1 if symbol >= model.bytes else 0 if level < 3 else 3
+                    h = int(model.spread[node])
+                    where = [(0, (h >> 33) % slots), (1, (((h ^ context) * int(mixing.SPREAD)) % 2**64 >> 33) % slots)]
+                    odds = float(model.odds[node])
+                    x = [odds] + [math.log((seen.get((w, 1), 0) + sigmoid(odds)) / (seen.get((w, 0), 0) + sigmoid(-odds))) - odds for w in where]
+                    z = sum(v * w for v, w in zip(x, weight[gate]))
+                    bucket = int(min(max(z * 1.5 + mixing.BUCKETS / 2, 0), mixing.BUCKETS - 1))
+                    z += correction[bucket]
+                    nats += math.log1p(math.exp(-z if bit else z))
+                    error = bit - sigmoid(z)
+                    for m in range(3):
+                        moves[gate, m] = moves.get((gate, m), 0) + error * x[m]
+                    turns[bucket] = turns.get(bucket, 0) + error
+                    told += [(w, bit) for w in where]
+            for (gate, m), v in moves.items():
+                weight[gate][m] += min(max(mixing.RATE * v, -0.3), 0.3)
+            for bucket, v in turns.items():
+                correction[bucket] += min(max(mixing.MAP_RATE * v, -0.3), 0.3)
+            for w in told:
+                seen[w] = seen.get(w, 0) + 1
+        out.append(nats)
+    return out
+
+
+@pytest.mark.parametrize("laid_out", [1 << 16, 50])
+def test_code_lengths_one_by_one(monkeypatch, laid_out):
+    monkeypatch.setattr(mixing, "LAID_OUT", laid_out)
+    texts = [t for _, t in make(30)] + ["", "eta", "rare words aren't symbols " * 30, " ".join(t for _, t in make(12, 4))]
+    model, _, _ = model_of(texts[:30], 120)
+    data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    x = mixing.tokens(data, at, model)
+    s = mixing.laid_out(x, data, model, *mixing.predicted(x, np.zeros(len(texts), bool), no_rows(), model, 0))
+    assert len(np.unique(s["symbol"][s["symbol"] >= model.flags])) > 4 and (s["symbol"] < model.escape).any()
+    assert np.allclose(mixing.code_lengths(s, model), one_by_one(s, model), rtol=3e-5)
+
+
+def test_work_for_each_decision(monkeypatch):
+    """Of the sums over decisions only those of the last correction, whose buckets lie anyhow, are counted one by one."""
+    counted, real = [], np.bincount
+    monkeypatch.setattr(mixing.np, "bincount", lambda v, weights=None, minlength=0: (counted.append(len(v) if weights is not None else 0), real(v, weights=weights, minlength=minlength))[1])
+    texts = [t for _, t in make(60)]
+    model, data, at = model_of(texts)
+    x = mixing.tokens(data, at, model)
+    s = mixing.laid_out(x, data, model, *mixing.predicted(x, np.zeros(60, bool), no_rows(), model, 0))
+    counted.clear()
+    mixing.code_lengths(s, model)
+    assert sum(counted) <= 1.01 * np.diff(model.first)[s["symbol"]].sum()
+
+
+def test_hashes_together():
+    r = np.random.default_rng(2)
+    for keys in (r.integers(0, 1 << 63, 1000).astype(np.uint64), np.repeat(r.integers(0, 1 << 63, 70).astype(np.uint64), 9)[r.permutation(630)],
+                 r.integers(0, 50, 300).astype(np.uint64), np.uint64(7 << 60) + r.integers(0, 3, 100).astype(np.uint64), np.full(5, 3, np.uint64), np.array([2**64 - 1, 0], np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)):
+        order, begin = together(keys)
+        assert np.array_equal(order, np.argsort(keys, kind="stable"))
+        assert np.array_equal(keys[order[begin]], np.unique(keys))
+
+
+def test_votes_that_are_put_together_many_times():
+    r = np.random.default_rng(4)
+    votes = np.zeros(3000, mixing.VOTE)
+    votes["context"], votes["symbol"] = r.integers(0, 40, 3000), r.integers(0, 6, 3000)
+    one, parts = mixing.Votes(), mixing.Votes()
+    one.add(votes)
+    for k in range(0, 3000, 500):
+        parts.add(votes[k : k + 500])
+        parts.merge()
+    for a, b in zip(one.leaders(), parts.leaders(), strict=True):
+        assert np.array_equal(a, b)
+    for c, best in zip(one.leaders()[0], one.leaders()[1]):
+        n = np.bincount(votes["symbol"][votes["context"] == c], minlength=6)
+        assert best == (n.max() << 16 | 65535 - int(n.argmax()))
+
+
+def test_shuffle_files_are_deleted_as_they_end(spark, monkeypatch):
+    """Not when the driver's JVM happens to collect garbage: before the texts are scored, no file of the votes is left."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    known = {str(b) for b in manager.diskBlockManager().getAllBlocks().mkString("|").split("|")}
+    left, real = {}, mixing.materialise
+
+    def seen(df, name, **how):
+        out = real(df, name, **how)
+        time.sleep(1)  # they are deleted beside what comes next
+        left[name] = {str(b) for b in manager.diskBlockManager().getAllBlocks().mkString("|").split("|")} - known
+        return out
+
+    monkeypatch.setattr(mixing, "materialise", seen)
+    assert mixing.score_texts(spark.createDataFrame(make(50), "doc_id long, text string").repartition(3)).count() == 50
+    assert set(left) == {"pieces", "word-counts", "answers", "scored"}
+    for name in ("answers", "scored"):
+        assert sum(b.startswith("shuffle_") for b in left[name] - left["word-counts"] - left["pieces"]) <= 4, left  # of small counts at most
+
+
 def test_online_learning_helps():
     texts = [t for _, t in make(60)]
     model, _, _ = model_of(texts)
