@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.session import materialise
+from tabveil.session import discard, materialise
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     number of them that grows with the logarithm of the longest path. Null nodes are left out.
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
-    edges = materialise(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi.alias("u"), lo.alias("v")).distinct(), "edges")
+    edges = materialise(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi.alias("u"), lo.alias("v")).distinct(), "edges", tidy=True)
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +23,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
-        edges = materialise(small, "edges")
+        old, edges = edges, materialise(small, "edges", tidy=True)
+        discard(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -3,7 +3,8 @@
 A document's set is put in one order for all documents, rare shingles first (by a sketch of fixed size, ties by hash),
 and its prefix is long enough that two similar sets share one of its shingles. Equal sets are one variant, variants
 with equal prefix and size are one group, and only groups meet on shingles. A pair meets only where the shingle comes so
-early in both sets that it can be the first they share; it is then expanded to variants, verified on their whole sets.
+early in both sets that it can be the first they share, and stays only where its prefixes hold enough common shingles; it
+is then expanded to variants, verified on their whole sets.
 
 A group of near copies never meets in all its pairs: first each meets a few centres of its shingles, those with the
 fewest rare shingles of their own, and only what these links have not yet put in one component meets in pairs.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +81,12 @@ def sketch(docs: DataFrame, text_column: str) -> np.ndarray:
             level = np.round(2 * np.log2(x + 1.0)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "levels"])
 
-    rows = docs.select(text_column).mapInArrow(count, "part int, counts binary").repartition(PARTS, "part").mapInArrow(add, "part int, levels binary").collect()  # PARTS rows, 4 MB together
+    rows = docs.select(text_column).mapInArrow(count, "part int, counts binary").repartition(PARTS, "part").mapInArrow(add, "part int, levels binary")
+    rows = materialise(rows, "levels", tidy=True)  # PARTS rows, 4 MB together
     out = np.zeros((PARTS, (1 << SLOT_BITS) // PARTS), np.uint8)
-    for r in rows:
+    for r in rows.collect():
         out[r.part] = np.frombuffer(r.levels, np.uint8)
+    discard(rows)
     return out.ravel()
 
 
@@ -91,10 +95,8 @@ def prefix_sizes(n: np.ndarray) -> np.ndarray:
     return n - (4 * n + 4) // 5 + (n > 0)
 
 
-def document_sets(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """rid, doc_id, n, s1, s2 (names of the set), p1, p2 (of its prefix), prefix: one row for each row of docs."""
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(sketch(docs, text_column))
+def document_sets(docs: DataFrame, id_column: str, text_column: str, levels: Broadcast) -> DataFrame:
+    """rid, doc_id, n, s1, s2 (names of the set), p1, p2 (of its prefix), prefix: one row for each row of docs. levels: see sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,7 +116,7 @@ def document_sets(docs: DataFrame, id_column: str, text_column: str) -> DataFram
 
     kind = docs.schema[id_column].dataType.simpleString()
     found = docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
-    return materialise(found.withColumn("rid", F.monotonically_increasing_id()), "sets")
+    return materialise(found.withColumn("rid", F.monotonically_increasing_id()), "sets", tidy=True)
 
 
 def total(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -133,15 +135,61 @@ def in_first(at: Column, n: Column, m: Column) -> Column:
     return 9 * (n - at) >= 4 * (n + m)
 
 
+def slot_bitmap(df: DataFrame, name: Column) -> Broadcast:
+    """Packed bits, of fixed size, of the highest bits of all names."""
+    slots = df.select(F.shiftrightunsigned(name, 64 - WANTED_BITS).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()  # at most 2**WANTED_BITS
+    bitmap = np.zeros(1 << WANTED_BITS, dtype=bool)
+    bitmap[slots] = True
+    return df.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+
+def known_upto(x: np.ndarray, y: np.ndarray, level_x: np.ndarray, level_y: np.ndarray) -> tuple[int, int]:
+    """How many shingles of the prefixes x and y lie up to the end of that which ends first; levels: those of their shingles."""
+    if (level_x[-1], x[-1]) > (level_y[-1], y[-1]):
+        return known_upto(y, x, level_y, level_x)[::-1]
+    lo, hi = np.searchsorted(level_y, level_x[-1], "left"), np.searchsorted(level_y, level_x[-1], "right")
+    return len(x), int(lo + np.searchsorted(y[lo:hi], x[-1], "right"))
+
+
+def possible(pairs: DataFrame, full: DataFrame, levels: Broadcast) -> DataFrame:
+    """Those of pairs (a, b) of groups that may reach 0.8 by their prefixes.
+
+    Up to the end of the prefix that ends first all common shingles are known; after it, no more than the smaller rest is common.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    sent = slot_bitmap(wanted, F.xxhash64("rid"))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(sent.value).view(bool)
+        for b in batches:
+            yield b.filter(pa.array(known[b.column(3).to_numpy()]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for i, (n, x, m, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), b.column(5), strict=True)):
+                x, y = (p.values.to_numpy().view(np.uint64) for p in (x, y))
+                i_x, i_y = known_upto(x, y, *(levels.value[(p >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] for p in (x, y)))
+                common = len(np.intersect1d(x, y, assume_unique=True)) + min(n - i_x, m - i_y)
+                if 100 * common >= 80 * (n + m - common):
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], ["a", "b"])
+
+    slot = F.shiftrightunsigned(F.xxhash64("rid"), 64 - WANTED_BITS).cast("int")
+    found = full.select("rid", "n", "prefix", slot.alias("slot")).mapInArrow(some, "rid long, n long, prefix array<long>, slot int")
+    found = materialise(found.join(wanted, "rid", "left_semi").drop("slot"), "wanted-prefixes", tidy=True)
+    x, y = (found.select(F.col("rid").alias(v), F.col("n").alias(f"n_{v}"), F.col("prefix").alias(f"p_{v}")) for v in "ab")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "p_a", "n_b", "p_b")
+    out = materialise(both.mapInArrow(compare, "a long, b long"), "possible-groups", tidy=True)
+    discard(found)
+    return out
+
+
 def wanted_sets(docs: DataFrame, text_column: str, pairs: DataFrame, variants: DataFrame) -> DataFrame:
     """vid, shingles of the variants in pairs (a, b). Only sets that a bitmap of fixed size lets through are moved."""
-    spark = docs.sparkSession
     names = variants.select("vid", "s1", "s2")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(names, "vid")
-    slots = wanted.select(F.shiftrightunsigned("s1", 64 - WANTED_BITS).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()  # at most 2**WANTED_BITS
-    bitmap = np.zeros(1 << WANTED_BITS, dtype=bool)
-    bitmap[slots] = True
-    sent = spark.sparkContext.broadcast(np.packbits(bitmap))
+    sent = slot_bitmap(wanted, F.col("s1"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = np.unpackbits(sent.value).view(bool), set()
@@ -159,11 +207,11 @@ def wanted_sets(docs: DataFrame, text_column: str, pairs: DataFrame, variants: D
 
     sets = docs.select(text_column).mapInArrow(some, "s1 long, s2 long, shingles array<long>")
     once = sets.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
-    return materialise(once.join(wanted, ["s1", "s2"]).select("vid", "shingles"), "wanted-sets")
+    return materialise(once.join(wanted, ["s1", "s2"]).select("vid", "shingles"), "wanted-sets", tidy=True)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets reach 0.8."""
+    """Those of pairs (a, b) whose sets reach 0.8. The sets are deleted."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,14 +224,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], ["a", "b"])
 
     x = pairs.select("a", "b").join(sets.select(F.col("vid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("vid").alias("b"), F.col("shingles").alias("y")), "b")
-    return materialise(x.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    out = materialise(x.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links", tidy=True)
+    discard(sets)
+    return out
 
 
-def meeting(x: DataFrame, y: DataFrame) -> DataFrame:
-    """gid_x, gid_y of the groups of x and y (token, gid, n, at and more) that meet on a shingle and may be similar, and may meet more than once."""
-    x, y = (df.select("token", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token"]) for df, side in ((x, "x"), (y, "y")))
-    early = in_first(F.col("at_x"), F.col("n_x"), F.col("n_y")) & in_first(F.col("at_y"), F.col("n_y"), F.col("n_x"))
-    return x.join(y, "token").where(sizes_fit(F.col("n_x"), F.col("n_y")) & early)
+def may_meet(x: tuple[Column, Column], y: tuple[Column, Column]) -> Column:
+    """Whether sets may be similar in which a shingle they share has these sizes and places (n, at)."""
+    return sizes_fit(x[0], y[0]) & in_first(x[1], x[0], y[0]) & in_first(y[1], y[0], x[0])
+
+
+def met_tokens(tokens: DataFrame) -> DataFrame:
+    """token, gid, n, at of tokens that several groups have, rank among these, centres: the gids of those among the first CENTRES, of lower rank, that it may meet."""
+    on = Window.partitionBy("token")
+    tokens = tokens.withColumn("rank", F.row_number().over(on.orderBy(F.col("at") / F.col("n"), F.xxhash64("gid")))).withColumn("size", F.count("*").over(on)).where("size > 1")
+    first = F.collect_list(F.when(F.col("rank") <= CENTRES, F.struct("rank", "gid", "n", "at"))).over(on)
+    mine = F.filter("first", lambda c: (c["rank"] < F.col("rank")) & may_meet((F.col("n"), F.col("at")), (c["n"], c["at"])))
+    return tokens.withColumn("first", first).select("token", "gid", "n", "at", "rank", F.transform(mine, lambda c: c["gid"]).alias("centres"))
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -196,44 +253,48 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """
     spark = docs.sparkSession
     ship(spark)
-    sets = document_sets(docs, id_column, text_column)
+    levels = spark.sparkContext.broadcast(sketch(docs, text_column))
+    sets = document_sets(docs, id_column, text_column, levels)
     full = sets.where("n > 0")
     variants = full.groupBy("n", "s1", "s2").agg(F.min("rid").alias("vid"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
-    variants = materialise(variants, "variants")
-    groups = materialise(variants.groupBy("n", "p1", "p2").agg(F.min("vid").alias("gid"), F.count("*").alias("k")), "groups")
-    member = materialise(variants.join(groups, ["n", "p1", "p2"]).select("vid", "gid", "n", "s1", "s2", "k"), "members")
+    variants = materialise(variants, "variants", tidy=True)
+    groups = materialise(variants.groupBy("n", "p1", "p2").agg(F.min("vid").alias("gid"), F.count("*").alias("k")), "groups", tidy=True)
+    member = materialise(variants.join(groups, ["n", "p1", "p2"]).select("vid", "gid", "n", "s1", "s2", "k"), "members", tidy=True)
 
     tokens = full.select(F.col("rid").alias("gid"), "n", "prefix").join(groups.select("gid"), "gid").select("gid", "n", F.posexplode("prefix").alias("at", "token"))
-    on = Window.partitionBy("token")
-    tokens = tokens.withColumn("rank", F.row_number().over(on.orderBy(F.col("at") / F.col("n"), F.xxhash64("gid")))).withColumn("size", F.count("*").over(on)).where("size > 1")
-    tokens = materialise(tokens.drop("size"), "met-tokens")
-    stars = meeting(tokens, tokens.where(F.col("rank") <= CENTRES)).where("rank_x > rank_y").select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct()
-    stars = materialise(stars, "star-groups")
+    tokens = materialise(met_tokens(tokens), "met-tokens", tidy=True)
+    discard(variants, groups)
+    stars = materialise(tokens.select(F.col("gid").alias("a"), F.explode("centres").alias("b")).distinct(), "star-groups", tidy=True)
+    met, stars = stars, possible(stars, full, levels)
+    discard(met)
     within = member.where("k > 1 AND vid != gid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
     pairs = stars.join(member.select(F.col("gid").alias("b"), "vid"), "b").select("a", F.col("vid").alias("b"))
-    pairs = materialise(pairs.unionByName(within), "star-pairs")
+    pairs = materialise(pairs.unionByName(within), "star-pairs", tidy=True)
     links = verified(pairs, wanted_sets(docs, text_column, pairs, member))
-    component = materialise(connected_components(links), "components")
+    component = materialise(connected_components(links), "components", tidy=True)
     at = member.join(component.withColumnRenamed("node", "vid"), "vid", "left").select("vid", "gid", "n", "k", F.coalesce("component", "vid").alias("c"))
-    at = materialise(at, "members-at")
+    at = materialise(at, "members-at", tidy=True)
     spread = at.groupBy("gid").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    rest = tokens.where(F.col("rank") > CENTRES).join(spread, "gid")
+    rest = tokens.where(F.col("rank") > CENTRES).drop("centres").join(spread, "gid")
     mixed = rest.groupBy("token").agg(F.min("c_lo").alias("lo"), F.max("c_hi").alias("hi")).where("lo < hi").select("token")
-    rest = materialise(rest.join(mixed, "token"), "mixed-tokens")
-    meet = meeting(rest, rest).where("rank_x > rank_y").where(APART).select("gid_x", "gid_y")
+    rest = materialise(rest.join(mixed, "token"), "mixed-tokens", tidy=True)
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in rest.columns if c != "token"]) for side in "xy")
+    meet = x.join(y, "token").where("rank_x > rank_y").where(may_meet(*((F.col(f"n_{side}"), F.col(f"at_{side}")) for side in "xy"))).where(APART).select("gid_x", "gid_y")
     # of the groups that met a centre only one member did, and those of one prefix met only one another's first
     x, y = (spread.select(*[F.col(c).alias(f"{c}_{side}") for c in spread.columns]) for side in "xy")
     meet = meet.unionByName(stars.select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y")).join(x, "gid_x").join(y, "gid_y").where(APART).select("gid_x", "gid_y"))
-    meet = meet.unionByName(spread.where("c_lo < c_hi").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))).distinct()
+    meet = meet.unionByName(spread.where("c_lo < c_hi").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y")))
+    met = materialise(meet.select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct(), "met-groups", tidy=True)
+    meet = possible(met, full, levels).select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y"))
     a, b = (at.select(F.col("gid").alias(f"gid_{side}"), F.col("vid").alias(v), F.col("c").alias(f"c_{side}")) for side, v in (("x", "a"), ("y", "b")))
     unordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = unordered(meet.join(a, "gid_x").join(b, "gid_y").where("c_x != c_y")).distinct().join(unordered(pairs), ["a", "b"], "left_anti")
-    left = materialise(left, "rest-pairs")
-    discard(tokens, stars, rest, at)
+    left = materialise(left, "rest-pairs", tidy=True)
+    discard(tokens, stars, rest, at, met)
     if not left.isEmpty():
         more = verified(left, wanted_sets(docs, text_column, left, member))
         if not more.isEmpty():
-            component = materialise(connected_components(links.unionByName(more)), "components-2")
+            component = materialise(connected_components(links.unionByName(more)), "components-2", tidy=True)
 
     of = member.join(component.withColumnRenamed("node", "vid"), "vid", "left").select("n", "s1", "s2", F.coalesce("component", "vid").alias("c"))
     rows = full.select("doc_id", "n", "s1", "s2").join(of, ["n", "s1", "s2"])
