@@ -30,6 +30,8 @@ SLOT_BITS, PARTS = 22, 64
 WANTED_BITS = 24
 #: Groups on one shingle, those with the fewest rarer ones, that all others on it meet first.
 CENTRES = 4
+#: Pairs of groups left after the centres, of one in so many variants, that go to their whole sets without a look at prefixes.
+FEW = 16
 APART = "NOT (c_lo_x = c_hi_x AND c_lo_y = c_hi_y AND c_lo_x = c_lo_y)"
 
 
@@ -156,7 +158,7 @@ def possible(pairs: DataFrame, full: DataFrame, levels: Broadcast) -> DataFrame:
 
     Up to the end of the prefix that ends first all common shingles are known; after it, no more than the smaller rest is common.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
     sent = slot_bitmap(wanted, F.xxhash64("rid"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +287,8 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     meet = meet.unionByName(stars.select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y")).join(x, "gid_x").join(y, "gid_y").where(APART).select("gid_x", "gid_y"))
     meet = meet.unionByName(spread.where("c_lo < c_hi").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y")))
     met = materialise(meet.select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct(), "met-groups", tidy=True)
-    meet = possible(met, full, levels).select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y"))
+    many = met.count() * FEW > member.count()  # few are cheaper to verify than to look up; whole sets of more don't follow the input
+    meet = (possible(met, full, levels) if many else met).select(F.col("a").alias("gid_x"), F.col("b").alias("gid_y"))
     a, b = (at.select(F.col("gid").alias(f"gid_{side}"), F.col("vid").alias(v), F.col("c").alias(f"c_{side}")) for side, v in (("x", "a"), ("y", "b")))
     unordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = unordered(meet.join(a, "gid_x").join(b, "gid_y").where("c_x != c_y")).distinct().join(unordered(pairs), ["a", "b"], "left_anti")

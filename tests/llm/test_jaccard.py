@@ -140,3 +140,9 @@ def test_disk_is_given_back_as_tables_are_written(spark, monkeypatch):
         assert not left[name], (name, left[name])
     there = {name for name, path in paths.items() if os.path.exists(path.removeprefix("file://"))}
     assert there & {"sets", "members"} and not there & {"variants", "groups", "met-tokens", "star-groups", "wanted-sets", "mixed-tokens"}, there
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_pairs_left_after_the_centres_with_and_without_a_look_at_prefixes(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    test_against_brute_force(spark, monkeypatch, 1)
